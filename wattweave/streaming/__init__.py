@@ -1,0 +1 @@
+"""No streaming operators: every input of the covered workload is a static table."""
