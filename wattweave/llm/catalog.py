@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from wattweave.llm import mixing, quality_rules
+from wattweave.llm import chat_format, exact_dedup, language_id, license_scan, mixing, quality_rules
+from wattweave.llm.chosen_path import similar_texts
 from wattweave.llm.common import documents
+from wattweave.llm.suffix_dedup import suffix_dedup
 from wattweave.llm.piece_codec import piece_digests
 from wattweave.llm.token_counts import token_counts
 
@@ -40,3 +42,33 @@ def op8(spark, folder):
 @query("op9_mixing", mixing.ORACLE)
 def op9(spark, folder):
     return mixing.taken_words(mixing.mix(documents(spark, folder)))
+
+
+@query("op10_exact_dedup", exact_dedup.ORACLE)
+def op10(spark, folder):
+    return exact_dedup.exact_groups(documents(spark, folder))
+
+
+@query("op4_language_id")
+def op4(spark, folder):
+    return language_id.identify(documents(spark, folder))
+
+
+@query("op2_suffix_dedup")
+def op2(spark, folder):
+    return suffix_dedup(documents(spark, folder))
+
+
+@query("op3_chosen_path")
+def op3(spark, folder):
+    return similar_texts(documents(spark, folder))
+
+
+@query("op5_chat_format", chat_format.ORACLE)
+def op5(spark, folder):
+    return chat_format.conversation_pairs(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+@query("op7_license_scan", license_scan.ORACLE)
+def op7(spark, folder):
+    return license_scan.document_licenses(documents(spark, folder))

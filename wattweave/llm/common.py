@@ -10,15 +10,16 @@ from wattweave.sources.shared import new_path
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 HOT_SHARE = 1_000
+ROW = "__row_id"
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def id_and_text(docs: DataFrame) -> DataFrame:
+def id_and_text(docs: DataFrame, *more: Column) -> DataFrame:
     """Only the id and the text (null: empty), so that no other column of the input can clash with ours."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
 def words(text: Column) -> Column:
@@ -54,6 +55,17 @@ def join_counted(rows: DataFrame, classes: DataFrame, key: str, size: str, total
     return joined.select(*rows.columns, *[F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in values])
 
 
+def with_row_id(docs: DataFrame) -> DataFrame:
+    """The rows with a text that tells each from all others: its file and number there. A frame that does not come
+    from files is stored first."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return docs.withColumn(ROW, F.concat_ws("#", "_metadata.file_path", "_metadata.row_index"))
+    except AnalysisException:
+        return stored(docs, "rows").withColumn(ROW, F.concat_ws("#", "_metadata.file_path", "_metadata.row_index"))
+
+
 class Memo:
     """Values by key in two generations: what was not asked for during a whole generation is forgotten."""
 

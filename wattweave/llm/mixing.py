@@ -7,7 +7,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattweave.llm.common import WORD, stored
+from wattweave.llm.common import ROW, WORD, stored, with_row_id
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -45,7 +45,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return s.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED,
+        row: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target and copies of every document.
 
     Each document's expected number of copies is its source's target by its source's size. Documents of a source are
@@ -54,24 +55,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     The order is made by range partitions, a sum per partition and source, and the place in the partition: a source
     may have any share of the rows. Null text: size 0. Null source: a source of its own, after all others. Null doc_id
     goes last in its size. Repeated rows count each. An empty source or table has targets of 0. Other columns are not
-    read.
+    read, but for `row`, the name of a string column that is carried along as `__row`.
     """
     light = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source",
-                               F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
-    key = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc_nulls_last()]
+                               F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+                               (F.col(row) if row else F.lit(None)).cast("string").alias("__row")), "sizes")
+    key = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc_nulls_last(), F.col("__row").asc()]
     placed = light.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("at", F.monotonically_increasing_id())
-    placed = stored(placed, "placed").withColumn("part", F.shiftright("at", 33)).withColumn("row", F.col("at").bitwiseAND(F.lit(IN_PARTITION)))
+    placed = stored(placed, "placed").withColumn("part", F.shiftright("at", 33)).withColumn("nth", F.col("at").bitwiseAND(F.lit(IN_PARTITION)))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = placed.groupBy("part", "source").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
+    parts = placed.groupBy("part", "source").agg(F.count(F.lit(1)).alias("n"), F.min("nth").alias("first"))
     parts = parts.select(F.col("part").alias("p"), F.col("source").alias("s"),
                          (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
     targets = source_targets(light, weights, most).withColumnRenamed("source", "t")
     parts = stored(parts.join(targets, F.col("s").eqNullSafe(F.col("t"))).drop("t"), "source-parts")
     rows = placed.join(parts, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
     rate = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.col("target") / F.col("source_size"))
-    rank, u = F.col("row") + F.col("shift"), F.lit(offset(seed))
+    rank, u = F.col("nth") + F.col("shift"), F.lit(offset(seed))
     copies = F.floor((rank + 1) * rate + u) - F.floor(rank * rate + u)
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *(["__row"] if row else []))
 
 
 def taken_words(mixed: DataFrame) -> DataFrame:
@@ -79,11 +81,11 @@ def taken_words(mixed: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each row as many times as the mix takes it. Rows that share a doc_id share its copies."""
-    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(
-        F.floor(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("__copies")).where("__copies > 0")
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("__id")))
-    return joined.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    """The documents themselves, with all their columns, each row as many times as the mix takes it."""
+    rows = with_row_id(docs)
+    taken = mix(rows, row=ROW, **options).where("copies > 0").select(
+        F.col("__row").alias("__taken"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__nth"))
+    return rows.join(taken, F.col(ROW) == F.col("__taken")).select(*docs.columns)
 
 
 ORACLE = rf"""
