@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from wattweave.catalog.base import big, q6, qstamp, query, r6, stamp, strict
 from wattweave.functions.vectors import row_zscore
 from wattweave.operators import clustering, evaluation, filters, knn, linkage, models, ranking
-from wattweave.operators.aggregates import weekly_profile
 from wattweave.operators.discriminant import fit_discriminant
 from wattweave.plans.classify import classify, classify_by_discriminant, hold_out
 from wattweave.sources.shared import materialise
@@ -253,14 +252,19 @@ def cluster_usage_curve_of_month(w):
 
 
 @query("m23_cluster_hourly_profile", f"""
-, {BY_AGE},
-cells AS (SELECT building_id, day, hour, avg(meter_reading) AS v FROM readings WHERE meter = 0 GROUP BY 1, 2, 3),
-slots AS (SELECT cluster, day, hour, avg(v) AS v FROM cells JOIN c USING (building_id) GROUP BY 1, 2, 3)
+WITH cells AS (SELECT l_suppkey AS id, extract(dow FROM l_shipdate) + 1 AS day, extract(month FROM l_shipdate) AS hour, avg(l_quantity) AS v
+          FROM lineitem GROUP BY 1, 2, 3),
+whole AS (SELECT id FROM cells GROUP BY 1 HAVING count(v) = 84),
+slots AS (SELECT id % 3 + 1 AS cluster, day, hour, avg(v) AS v FROM cells JOIN whole USING (id) GROUP BY 1, 2, 3)
 SELECT CAST(cluster AS BIGINT) AS cluster, CAST(hour AS BIGINT) AS hour, {q6('avg(v)')} AS value FROM slots GROUP BY 1, 2
-""")
+""", views=False)
 def cluster_hourly_profile(w):
-    profile = weekly_profile(filters.of_meter(w.readings, 0), with_sd=False).withColumnRenamed("avg_meter_reading", "value")
-    curve = clustering.cluster_hourly_profile(profile, clusters_by_age(w))
+    """Profiles of 84 slots, weekday by month of shipping, most of which are complete."""
+    rows = w.table("lineitem").select(F.col("l_suppkey").alias("building_id"), F.dayofweek("l_shipdate").alias("day"),
+                                      F.month("l_shipdate").alias("hour"), "l_quantity")
+    profile = rows.groupBy("building_id", "day", "hour").agg(F.avg("l_quantity").alias("value"))
+    clusters = w.table("supplier").select(F.col("s_suppkey").alias("building_id"), (F.col("s_suppkey") % 3 + 1).alias("cluster"))
+    curve = clustering.cluster_hourly_profile(profile, clusters, slots=84)
     return curve.select(big("cluster").alias("cluster"), big("hour").alias("hour"), r6("value").alias("value"))
 
 

@@ -45,7 +45,7 @@ def elbow_curve(df: DataFrame, ks: range = range(1, 11), restarts: int = 10, see
     costs = []
     for k in ks:
         if k == 1:
-            s = vectors.select(Summarizer.metrics("variance", "count").summary("vector").alias("s")).first()["s"]
+            s = vectors.select(Summarizer.metrics("variance", "count").summary(F.col("vector")).alias("s")).first()["s"]
             cost = float(sum(s["variance"]) * (s["count"] - 1))
         else:
             cost = float(_best_run(vectors, k, restarts, seed).summary.trainingCost)
@@ -63,12 +63,14 @@ def cluster_usage_curve(readings: DataFrame, buildings: DataFrame, clusters: Dat
     return curve.withColumn("date", week_anchor("day", "hour"))
 
 
-def cluster_hourly_profile(profile: DataFrame, clusters: DataFrame, value: str = "value") -> DataFrame:
+def cluster_hourly_profile(profile: DataFrame, clusters: DataFrame, value: str = "value",
+                           slots: int = 168) -> DataFrame:
     """Mean per cluster and slot, then averaged over the slots of each hour: (cluster, hour, value).
 
-    ``profile`` is long: building_id, day, hour and the (scaled) value. Only buildings with all values take part.
+    ``profile`` is long: building_id, day, hour and the (scaled) value. Only buildings that have a value in each of
+    the ``slots`` cells of a profile take part: neither a null nor an absent cell is let through.
     """
-    whole = profile.groupBy("building_id").agg(F.count_if(F.col(value).isNull()).alias("gaps")).where("gaps = 0")
+    whole = profile.groupBy("building_id").agg(F.count(value).alias("filled")).where(F.col("filled") == slots)
     rows = (profile.join(clusters.select("building_id", "cluster"), "building_id")
             .join(whole.select("building_id"), "building_id", "left_semi"))
     slots = rows.groupBy("cluster", "day", "hour").agg(F.avg(value).alias("slot_mean"))

@@ -54,7 +54,8 @@ class DiscriminantModel:
 
 def fit_discriminant(df: DataFrame, label: str, features: str = "features") -> DiscriminantModel:
     """Two passes: class means, then the pooled scatter around them. The p × p system is solved on the driver;
-    a pseudo-inverse serves correlated predictors."""
+    a pseudo-inverse serves correlated predictors. Rows without a label are not learned from."""
+    df = df.where(F.col(label).isNotNull())
     per_class = (df.groupBy(label).agg(Summarizer.metrics("mean", "count").summary(array_to_vector(features)).alias("s"))
                  .orderBy(label).collect())
     classes = [r[label] for r in per_class]

@@ -90,6 +90,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, key: str, k: int, value: str
                      F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).alias("query_part")))
     block = ["cell", "query_part", "corpus_part"]
     key_type = asked.schema[key].dataType.simpleString()
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both sides may descend from one frame
     partial = (left.groupBy(*block).cogroup(right.groupBy(*block))
                .applyInArrow(_block_search(k), f"key {key_type}, distance double, n long, total double"))
     merged = partial.groupBy("key", "distance").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))

@@ -35,6 +35,8 @@ def complete_linkage(rows: DataFrame, key: str, block_rows: int = BLOCK_ROWS) ->
                       F.lit(0).alias("step")))
     tree = [copies]
     left = members.count()
+    if left <= block_rows:
+        return copies.unionByName(_small_tree(members))
     near = None
     step = 0
     while left > 1:
@@ -58,6 +60,39 @@ def complete_linkage(rows: DataFrame, key: str, block_rows: int = BLOCK_ROWS) ->
     return out
 
 
+def _small_tree(members: DataFrame) -> DataFrame:
+    """The whole tree in one task: at most a block of rows, so a matrix of block_rows squared at most."""
+    one = members.select("key", "features").groupBy(F.lit(0).alias("all"))
+    return one.applyInArrow(_merge_all, "kept long, gone long, height double, step int")
+
+
+def _merge_all(table: pa.Table) -> pa.Table:
+    keys = table.column("key").to_numpy()
+    order = np.argsort(keys)
+    keys, x = keys[order], matrix(table.column("features"))[order]
+    gaps = np.empty((len(x), len(x)))
+    for i, row in enumerate(x):
+        gaps[i] = np.sqrt(((x - row) ** 2).sum(1))
+    np.fill_diagonal(gaps, np.inf)
+    near = gaps.argmin(1)
+    best = gaps[np.arange(len(x)), near]
+    merges = []
+    for step in range(1, len(x)):
+        a = int(best.argmin())
+        a, b = sorted((a, int(near[a])))
+        merges.append((keys[a], keys[b], float(gaps[a, b]), step))
+        joined = np.maximum(gaps[a], gaps[b])
+        gaps[a], gaps[:, a], gaps[b], gaps[:, b] = joined, joined, np.inf, np.inf
+        gaps[a, a] = best[b] = np.inf
+        for i in np.flatnonzero((near == a) | (near == b) | (np.arange(len(x)) == a)):
+            if i != b and np.isfinite(best[i]) or i == a:
+                near[i] = gaps[i].argmin()
+                best[i] = gaps[i, near[i]]
+    kept, gone, height, at = zip(*merges) if merges else ((), (), (), ())
+    return pa.table({"kept": pa.array(kept, pa.int64()), "gone": pa.array(gone, pa.int64()),
+                     "height": pa.array(height, pa.float64()), "step": pa.array(at, pa.int32())})
+
+
 def _mutual_pairs(near: DataFrame) -> DataFrame:
     other = near.select(F.col("cluster").alias("near"), F.col("near").alias("back"))
     return (near.join(other, "near").where((F.col("back") == F.col("cluster")) & (F.col("cluster") < F.col("near")))
@@ -101,6 +136,7 @@ def _search(asked: DataFrame, members: DataFrame, block_rows: int) -> DataFrame:
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = placed(asked).withColumnRenamed("block", "a").withColumn("b", F.explode(every))
     right = placed(members).withColumnRenamed("block", "b").withColumn("a", F.explode(every))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both sides descend from one frame
     found = (left.groupBy("a", "b").cogroup(right.groupBy("a", "b"))
              .applyInArrow(_block_linkage, "cluster long, near long, distance double, final boolean"))
     if blocks > 1:
@@ -155,13 +191,14 @@ def cut_tree(rows: DataFrame, key: str, tree: DataFrame, k: int) -> DataFrame:
         here = waiting.join(roots, waiting["up"] == roots["root"], "left_semi")
         settled = here if settled is None else settled.unionByName(here)
         rest = waiting.join(roots, waiting["up"] == roots["root"], "left_anti")
-        # jump two links at a time
+        # jump two links at a time; rows that have reached one of the k roots stay out of the joins
         above = current.select(F.col("node").alias("up"), F.col("up").alias("top"))
         waiting = materialise(rest.join(above, "up").select("node", F.col("top").alias("up")))
         if waiting.isEmpty():
             break
-        current = materialise(
-            current.join(above, "up").select("node", F.col("top").alias("up")))
+        done = current.join(F.broadcast(roots), current["up"] == roots["root"], "left_semi")
+        moving = current.join(F.broadcast(roots), current["up"] == roots["root"], "left_anti")
+        current = materialise(done.unionByName(moving.join(above, "up").select("node", F.col("top").alias("up"))))
     numbered = roots.withColumn("cluster", F.row_number().over(Window.orderBy("root")))
     return settled.join(numbered, settled["up"] == numbered["root"]).select(F.col("node").alias(key), "cluster")
 

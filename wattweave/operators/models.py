@@ -10,7 +10,7 @@ from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
                                        OneVsRest, RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IndexToString, RFormula, StandardScaler, StringIndexer
+from pyspark.ml.feature import IndexToString, RFormula, SQLTransformer, StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
@@ -29,9 +29,23 @@ def formula_features(df: DataFrame, formula: str) -> DataFrame:
     return RFormula(formula=formula, featuresCol="vector", labelCol="y").fit(df).transform(df)
 
 
+def _label_index(label: str, labels: list[str]) -> SQLTransformer:
+    """Add ``y``, the place of the label in the list: -1 for a class that is not listed, null for a null label.
+
+    No row is lost: rows to be scored may have any label or none. Training rows need a listed label.
+    """
+    listed = ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in labels)
+    return SQLTransformer(statement=f"SELECT *, CAST(array_position(array({listed}), CAST(`{label}` AS STRING)) - 1 AS DOUBLE) "
+                                    "AS y FROM __THIS__")
+
+
+def labelled(df: DataFrame, label: str) -> DataFrame:
+    """The rows that can be learned from."""
+    return df.where(F.col(label).isNotNull())
+
+
 def _pipeline(label: str, labels: list[str], classifier, scale: bool = True) -> Pipeline:
-    index = StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc", handleInvalid="skip")
-    stages = [index]
+    stages = [_label_index(label, labels)]
     if scale:
         stages.append(StandardScaler(inputCol="vector", outputCol="scaled", withMean=True, withStd=True))
     back = IndexToString(inputCol="prediction", outputCol="predicted", labels=labels)
@@ -107,7 +121,7 @@ def predict(model: Model, df: DataFrame) -> DataFrame:
 def cross_validate(df: DataFrame, label: str, key: str, candidates: dict[str, Pipeline], folds: int = 10,
                    seed: int = 100, parallelism: int = 2) -> tuple[PipelineModel, DataFrame]:
     """Accuracy of every candidate over class-balanced folds; the best one refitted on all rows, and the report."""
-    folded = stratified_folds(df, label, key, folds, seed).cache()
+    folded = stratified_folds(labelled(df, label), label, key, folds, seed).cache()
     try:
         shell = Pipeline(stages=[])
         grid = [{shell.stages: p.getStages()} for p in candidates.values()]

@@ -38,8 +38,11 @@ def to_array(long: DataFrame, id_column: str, name_column: str, values: list[str
     cells = F.map_from_entries(F.collect_list(F.struct(F.col(name_column), F.struct(*values))))
     order = F.array(*[F.lit(n) for n in names])
     grouped = long.where(F.col(name_column).isin(names)).groupBy(id_column).agg(cells.alias("cells"))
-    parts = [F.transform(order, lambda n, v=v: F.try_element_at(F.col("cells"), n).getField(v).cast("double")) for v in values]
-    return grouped.select(id_column, F.concat(*parts).alias(into))
+
+    def one(value: str) -> Column:
+        return F.transform(order, lambda n: F.try_element_at(F.col("cells"), n).getField(value).cast("double"))
+
+    return grouped.select(id_column, F.concat(*[one(v) for v in values]).alias(into))
 
 
 def lengthen(wide: DataFrame, ids: list[str], columns: list[str] | None = None, name: str = "variable",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wattweave.operators.discriminant import fit_discriminant
 from wattweave.operators.evaluation import accuracy, confusion
-from wattweave.operators.models import predict, with_vector
+from wattweave.operators.models import labelled, predict, with_vector
 from wattweave.operators.ranking import stratified_split
 from wattweave.sources.shared import materialise
 
@@ -33,7 +33,7 @@ def evaluate(scored: DataFrame, label: str, predicted: str = "predicted") -> Out
 
 
 def classify(train: DataFrame, test: DataFrame, label: str, pipeline: Pipeline) -> Outcome:
-    model = pipeline.fit(with_vector(train))
+    model = pipeline.fit(with_vector(labelled(train, label)))
     return evaluate(predict(model, with_vector(test)), label)
 
 

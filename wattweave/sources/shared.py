@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +38,17 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once per context: their tasks import it by name."""
+    context = spark.sparkContext
+    if getattr(context, "_wattweave_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    with tempfile.NamedTemporaryFile(prefix="wattweave-", suffix=".zip", delete=False) as file:
+        with zipfile.ZipFile(file, "w") as archive:
+            for source in sorted(package.rglob("*.py")):
+                archive.write(source, source.relative_to(package.parent))
+    context.addPyFile(file.name)
+    context._wattweave_shipped = True

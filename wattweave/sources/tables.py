@@ -13,9 +13,13 @@ CSV_OPTIONS = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with header; empty fields and NA are null; types are declared, so there is no inference pass."""
-    reader = spark.read.schema(schema).options(**CSV_OPTIONS, nullValue="NA", emptyValue="")
-    return reader.csv(path)
+    """CSV with header: columns are found by name, in any order; those that are not declared are not read.
+
+    Empty fields and NA are null. Types are declared, so there is no inference pass; a field that does not parse fails
+    the read, as does a missing column.
+    """
+    rows = spark.read.options(**CSV_OPTIONS, nullValue="NA", emptyValue="").csv(path)
+    return rows.select(*[F.nullif(F.col(f"`{f.name}`"), F.lit("")).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def read_csv_text(spark: SparkSession, path: str, schema: T.StructType, parse: bool = True) -> DataFrame:
@@ -29,8 +33,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def drop_index(df: DataFrame) -> DataFrame:
-    """Remove the unnamed row-number column that a CSV export leaves behind."""
-    return df.drop("_c0", "X1", "X", "")
+    """Remove the row-number column that a CSV export leaves behind: the first one, if it has no name."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns[1:]]) if df.columns[0] in ("", "_c0") else df
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
