@@ -13,7 +13,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "
 def spark(tmp_path_factory):
     from tools.session import local_session
 
-    session = local_session(8)
+    session = local_session(int(os.environ.get("BENCH_CPUS", "8")))
     if not session.sparkContext.getCheckpointDir():
         session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     return session

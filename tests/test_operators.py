@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wattweave.operators import clustering, discriminant, knn, linkage, models, reshape
+from wattweave.operators import clustering, discriminant, kalman, knn, linkage, models, reshape
 from wattweave.plans.classify import classify
 from wattweave.sources import tables
 from wattweave.sources.schemas import BUILDINGS
@@ -91,3 +91,20 @@ def test_only_an_unnamed_first_column_is_an_index(spark):
     df = spark.range(2).select(F.col("id").alias("X"), F.lit(1).alias("_c0"))
     assert tables.drop_index(df).columns == ["X", "_c0"]
     assert tables.drop_index(df.select("_c0", "X")).columns == ["X"]
+
+
+def test_smoothing_is_the_same_in_chunks_of_any_size(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for site in (1, 2):
+        level = np.cumsum(rng.normal(size=60))
+        for t in range(60):
+            seen = rng.random() < 0.6
+            rows.append((site, t, float(level[t]) if seen else None, None if t > 1 else 1.0))
+    df = spark.createDataFrame(rows, "site_id int, timestamp int, a double, b double")
+    one = {(r.site_id, r.timestamp): r for r in kalman.fill_by_smoothing(df, ["a", "b"]).collect()}
+    many = kalman.fill_by_smoothing(df, ["a", "b"], chunk_rows=9)
+    assert {(r.site_id, r.measure): r.n for r in kalman.unfilled(many, ["a", "b"]).collect()} == {(1, "b"): 58, (2, "b"): 58}
+    for r in many.collect():
+        assert r.a == pytest.approx(one[r.site_id, r.timestamp].a, abs=1e-6)
+    assert all(one[s, t].a == v for s, t, v, _ in rows if v is not None)

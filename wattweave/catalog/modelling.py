@@ -39,7 +39,13 @@ def row_scale(w):
     return exploded(w.vectors.withColumn("features", row_zscore("features")))
 
 
-@query("m03_formula_features")
+@query("m03_formula_features", """
+, whole AS (SELECT * FROM buildings WHERE year_built IS NOT NULL AND floor_count IS NOT NULL AND square_feet IS NOT NULL
+            AND primary_use IS NOT NULL AND site_id IS NOT NULL),
+classes AS (SELECT primary_use, row_number() OVER (ORDER BY count(*) DESC, primary_use) - 1 AS y FROM whole GROUP BY 1)
+SELECT building_id, CAST(y AS DOUBLE) AS y, [CAST(square_feet AS DOUBLE), CAST(year_built AS DOUBLE), CAST(floor_count AS DOUBLE)] AS vector
+FROM whole JOIN classes USING (primary_use)
+""")
 def formula_features(w):
     rows = models.formula_features(w.buildings.dropna(), "primary_use ~ . - site_id - building_id")
     return rows.select("building_id", "y", vector_to_array("vector").alias("vector"))

@@ -62,6 +62,10 @@ def derived_table(w):
         "building_id", big("floor_count").alias("floor_count"), "primary_use")
 
 
-@query("s05_schema")
+@query("s05_schema", """
+SELECT * FROM (VALUES (1, 'site_id', 'int'), (2, 'timestamp', 'timestamp_ntz'), (3, 'air_temperature', 'double'),
+  (4, 'cloud_coverage', 'double'), (5, 'dew_temperature', 'double'), (6, 'precip_depth_1_hr', 'double'),
+  (7, 'sea_level_pressure', 'double'), (8, 'wind_direction', 'double'), (9, 'wind_speed', 'double')) AS t(position, "column", type)
+""", views=False)
 def schema(w):
     return tables.describe_schema(w.weather)

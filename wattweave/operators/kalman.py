@@ -24,24 +24,33 @@ SLOPE_NOISE = [1e-10, 1e-6, 1e-4, 1e-2, 1.0]
 SETTINGS = [(level, slope) for level in LEVEL_NOISE for slope in SLOPE_NOISE]
 PRIOR = 1e7  # start variance, relative to the observation noise
 CHUNK_ROWS = 100_000
-MAX_CHUNKS = 50_000  # beyond this many, chunks grow instead: the scan of one site and column holds one map per chunk
-LEAST_SEEN = 3  # columns with fewer observed values in a site are left as they are
+LEAST_SEEN = 3
 
 MAP_PARTS = 16  # numbers per setting that describe a chunk
 BORDER = ["a1", "a2", "v11", "v12", "v22", "e1", "e2"]  # state and its variance before a chunk, state after it
 
 
 def fill_by_smoothing(df: DataFrame, columns: list[str], site: str = "site_id", ts: str = "timestamp",
-                      chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Replace the nulls of ``columns`` by the smoothed level of their site's series in time order."""
-    n_chunks = min(MAX_CHUNKS, max(1, math.ceil(df.count() / chunk_rows)))
+                      chunk_rows: int = CHUNK_ROWS, least_seen: int = LEAST_SEEN) -> DataFrame:
+    """Replace the nulls of ``columns`` by the smoothed level of their site's series in time order.
+
+    A site's column with fewer than ``least_seen`` observed values says too little about its variances and keeps its
+    nulls; ``unfilled`` counts them. The scan of one site and column holds a map of some 4 KB per chunk of that site.
+    """
+    n_chunks = max(1, math.ceil(df.count() / chunk_rows))
     others = [c for c in df.columns if c not in (site, ts)]
     ordered = df.withColumn("_tie", F.xxhash64(*others))
     # written out, because chunk numbers must not change when a lost partition is computed again
     chunks = materialise(ordered.repartitionByRange(n_chunks, site, ts, "_tie")
                          .withColumn("_chunk", F.spark_partition_id()))
     borders = _borders(_chunk_maps(chunks, columns, site, ts), site)
-    return _smooth(chunks, borders, columns, site, ts).select(*df.columns)
+    return _smooth(chunks, borders, columns, site, ts, least_seen).select(*df.columns)
+
+
+def unfilled(df: DataFrame, columns: list[str], site: str = "site_id") -> DataFrame:
+    """(site, measure, n): the nulls left in each site's columns, where there are any."""
+    counts = df.groupBy(site).agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+    return counts.unpivot([site], columns, "measure", "n").where("n > 0")
 
 
 def _series(rows: pd.DataFrame, columns: list[str], ts: str) -> np.ndarray:
@@ -182,7 +191,8 @@ def smooth_series(y: np.ndarray, level, slope, start: np.ndarray, spread: np.nda
     return out
 
 
-def _smooth(chunks: DataFrame, borders: DataFrame, columns: list[str], site: str, ts: str) -> DataFrame:
+def _smooth(chunks: DataFrame, borders: DataFrame, columns: list[str], site: str, ts: str,
+            least_seen: int) -> DataFrame:
     def fill(rows: pd.DataFrame, border: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([ts, "_tie"])
         border = border.sort_values("measure")
@@ -191,7 +201,7 @@ def _smooth(chunks: DataFrame, borders: DataFrame, columns: list[str], site: str
         slope = np.array([SETTINGS[s][1] for s in border["setting"]])
         smoothed = smooth_series(y, level, slope, border[["a1", "a2"]].to_numpy(),
                                  border[["v11", "v12", "v22"]].to_numpy(), border[["e1", "e2"]].to_numpy())
-        enough = (border["seen"] >= LEAST_SEEN).to_numpy()
+        enough = (border["seen"] >= least_seen).to_numpy()
         rows[columns] = np.where(np.isnan(y) & enough, smoothed, y)
         return rows
 
