@@ -220,7 +220,7 @@ def similar_texts(docs: DataFrame, least: float = LEAST, recall: float = RECALL,
     doc_id comes after all others. Repeated rows have the same shingles. Empty table: no rows. Other columns are not
     read, but for `row`, the name of a string column that is carried along as `row`.
     """
-    spark = docs.sparkSession
+    spark, total = docs.sparkSession, docs.count()
     runs = [np.uint64(r + 1) for r in range(max(1, math.ceil(-math.log(1 - recall))))]
     texts = id_and_text(docs, (F.col(row) if row else F.lit(None)).cast("string").alias("row"))
     home = Homes(texts, lambda r: len(r[1]))
@@ -237,6 +237,8 @@ def similar_texts(docs: DataFrame, least: float = LEAST, recall: float = RECALL,
 
     described = home.rdd.mapPartitionsWithIndex(lambda part, rows: numbered(part, rows, describe))
     points = stored(spark.createDataFrame(described, POINTS, verifySchema=False), "points")
+    if points.count() != total:
+        raise RuntimeError("the input has other rows than when it was counted; store it and run again")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "place"))
     classes = stored(points.groupBy("sig").agg(first.alias("rep"), F.count(F.lit(1)).alias("copies")), "shingle-classes")
     reps = points.join(classes.select(F.col("rep.place").alias("place")), "place", "left_semi").where("n > 0")
@@ -297,7 +299,7 @@ def similar_texts(docs: DataFrame, least: float = LEAST, recall: float = RECALL,
         "sig", "copies", F.col("least.doc_id").alias("class_id"), F.col("least.place").alias("first"), F.col("rep.doc_id").alias("copy_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     result = stored(result, "classes")
-    return join_counted(points.select("place", "doc_id", "sig", "row"), result, "sig", "copies", points.count()).select(
+    return join_counted(points.select("place", "doc_id", "sig", "row"), result, "sig", "copies", total).select(
         "doc_id", "class_id", "copy_id", "n_links", (F.col("place") == F.col("first")).alias("kept"), *(["row"] if row else []))
 
 
