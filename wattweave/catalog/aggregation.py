@@ -24,8 +24,7 @@ FROM readings JOIN buildings USING (building_id) WHERE meter = 0 AND site_id = 0
 """)
 def mean_by_date(w):
     site = w.buildings.where(F.col("site_id") == 0)
-    rows = projections.with_date_parts(filters.members_of(electricity(w), site, "building_id"))
-    means = aggregates.mean_by(rows, ["timestamp_date"])
+    means = aggregates.mean_by_of_members(projections.with_date_parts(electricity(w)), ["timestamp_date"], site)
     return means.select(F.col("timestamp_date").cast("string").alias("timestamp_date"),
                         r6("avg_meter_reading").alias("avg_meter_reading"))
 

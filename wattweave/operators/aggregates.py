@@ -22,6 +22,13 @@ def mean_by(df: DataFrame, keys: list[str], value: str = "meter_reading", name:
     return df.groupBy(*keys).agg(mean_strict(value).alias(name))
 
 
+def mean_by_of_members(readings: DataFrame, keys: list[str], buildings: DataFrame,
+                       name: str = "avg_meter_reading") -> DataFrame:
+    """Mean reading by columns of the readings, of the listed buildings: readings are summed before the semi-join."""
+    cells = readings.groupBy("building_id", *keys).agg(*mean_parts("meter_reading"))
+    return cells.join(buildings, "building_id", "left_semi").groupBy(*keys).agg(mean_of_parts().alias(name))
+
+
 def mean_by_building_attribute(readings: DataFrame, buildings: DataFrame, keys: list[str], attributes: list[str],
                                name: str = "avg_meter_reading") -> DataFrame:
     """Mean reading by columns of the readings (``keys``) and of the metadata (``attributes``)."""

@@ -20,10 +20,15 @@ class Cleaned:
     weather: DataFrame
 
 
+def null_census(readings: DataFrame, buildings: DataFrame) -> DataFrame:
+    """Nulls per column of the readings with their buildings."""
+    return null_counts(with_buildings(readings, buildings))
+
+
 def clean_and_impute(readings: DataFrame, buildings: DataFrame, weather: DataFrame, slots: Slots = WEEKLY, k: int = 9,
                      sizes: Sizes = Sizes()) -> Cleaned:
     profile = building_slots(readings, slots, with_sd=False)
     return Cleaned(
-        nulls=null_counts(with_buildings(readings, buildings)),
+        nulls=null_census(readings, buildings),
         buildings=fill_buildings(profile, buildings, k, sizes),
         weather=fill_weather(weather))

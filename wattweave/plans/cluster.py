@@ -23,9 +23,10 @@ class Clustered:
 def cluster_buildings(readings: DataFrame, buildings: DataFrame, use: str = "Education", k: int = 3,
                       slots: Slots = WEEKLY, with_sd: bool = True, meter: int = ELECTRICITY,
                       block_rows: int = BLOCK_ROWS) -> Clustered:
-    """Complete-linkage clusters and the usage curve of each. Readings of other uses are dropped before profiling."""
+    """Complete-linkage clusters and the usage curve of each. Profiles of other uses are dropped, not their readings:
+    the aggregation makes far fewer rows to join than there are readings."""
     of_use = buildings.where(F.col("primary_use") == use)
     metered = of_meter(readings, meter)
-    rows = materialise(scaled_rows(building_slots(members_of(metered, of_use, "building_id"), slots, with_sd, meter)))
+    rows = materialise(scaled_rows(members_of(building_slots(metered, slots, with_sd, meter), of_use, "building_id")))
     clusters = hierarchical_clusters(rows, "building_id", k, block_rows)
     return Clustered(clusters, cluster_usage_curve(metered, of_use, clusters))
