@@ -65,14 +65,15 @@ def fit(x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: flo
     """
     languages = sorted(set(labels))
     y = np.array([[label == language for language in languages] for label in labels], np.float64)
-    x = x.astype(np.float64) / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+    norm = np.sqrt(np.maximum(x.sum(axis=1, keepdims=True, dtype=np.int64), 1))
     each = max(1, landmarks // len(languages))
     chosen = np.concatenate([np.flatnonzero(y[:, c])[:each] for c in range(len(languages))])
-    marks = x[chosen]
+    marks = x[chosen] / norm[chosen]
     values, vectors = np.linalg.eigh(marks @ marks.T)
     keep = values > 1e-8 * values[-1]
     root = vectors[:, keep] / np.sqrt(values[keep])
-    z = (x @ marks.T) @ root
+    # some rows at a time: the bits of all rows are small, their floats are not
+    z = np.concatenate([(x[i : i + 500] / norm[i : i + 500]) @ marks.T @ root for i in range(0, len(x), 500)])
     weight = (y / y.sum(axis=0)).sum(axis=1)[:, None] / len(languages)
     beta = np.linalg.solve(z.T @ (weight * z) + ridge * np.eye(z.shape[1]), z.T @ (weight * y))
     return Model(languages, (marks.T @ (root @ beta)).astype(np.float32))
@@ -110,7 +111,9 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -
     rows.sort(key=lambda r: (r[0], bytes(r[1])))
     x = np.unpackbits(np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.uint8).reshape(len(rows), -1), axis=1)
     order = np.random.default_rng(5).permutation(len(rows))
-    return fit(x[order], [rows[i][0] for i in order], landmarks)
+    labels = [rows[i][0] for i in order]
+    del rows
+    return fit(x[order], labels, landmarks)
 
 
 def predict(docs: DataFrame, model: Model | None, columns: str, out) -> DataFrame:
