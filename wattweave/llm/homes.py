@@ -140,19 +140,22 @@ def unflags(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
-def to_owners(values: np.ndarray, several: np.ndarray, place: tuple, bits: int, owner_bits: int) -> Iterator[tuple]:
+def to_owners(values: np.ndarray, several: np.ndarray, place: tuple, bits: int, owner_bits: int,
+              unlike: np.ndarray | None = None) -> Iterator[tuple]:
     """Messages (owner, (place, code, flags)) of sorted distinct integers below 2**bits; the owner is the top bits.
-    `several` marks values that the sender alone has met in more than one text."""
+    `several` marks values that the sender alone has met in more than one text, `unlike` those in unlike contexts."""
     shift = bits - owner_bits
     borders = np.flatnonzero(np.diff((values >> np.uint64(shift)).astype(np.int64), prepend=-1))
     for a, b in zip(borders, [*borders[1:], len(values)]):
         owner = int(values[a]) >> shift
-        yield owner, (place, rice_encode(values[a:b], owner << shift, shift), flags(several[a:b]))
+        more = () if unlike is None else (flags(unlike[a:b]),)
+        yield owner, (place, rice_encode(values[a:b], owner << shift, shift), flags(several[a:b]), *more)
 
 
-def found_twice(messages: RDD, owners: int, bits: int, hot: int | None = None) -> RDD:
+def found_twice(messages: RDD, owners: int, bits: int, hot: tuple[int, int] | None = None) -> RDD:
     """What owners answer: ((partition, row), (owner, place, n, flags)) with a bit for each value that was sent in
-    several messages or marked; with `hot`, further bits for values that came in so many messages or more."""
+    several messages or marked; with `hot`, further bits for values that came as `unlike` in hot[0] messages or more,
+    or in hot[1] messages or more."""
     owner_bits = owners.bit_length() - 1
 
     def decide(got):
@@ -164,13 +167,15 @@ def found_twice(messages: RDD, owners: int, bits: int, hot: int | None = None) -
             by_owner.setdefault(owner, []).append(message)
         for owner, sent in by_owner.items():
             low = owner << (bits - owner_bits)
-            each = [rice_decode(code, low) for _, code, _ in sent]
+            each = [rice_decode(m[1], low) for m in sent]
             values, inverse, counts = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
             twice = counts > 1
-            twice[inverse[np.concatenate([unflags(marks, len(v)) for v, (_, _, marks) in zip(each, sent)])]] = True
-            often = counts >= hot if hot else None
+            twice[inverse[np.concatenate([unflags(m[2], len(v)) for v, m in zip(each, sent)])]] = True
+            if hot:
+                unlike = np.concatenate([unflags(m[3], len(v)) for v, m in zip(each, sent)])
+                often = (np.bincount(inverse[unlike], minlength=len(values)) >= hot[0]) | (counts >= hot[1])
             at = 0
-            for v, (place, _, _) in zip(each, sent):
+            for v, (place, *_) in zip(each, sent):
                 own = inverse[at : at + len(v)]
                 at += len(v)
                 answer = (owner, place, len(v), flags(twice[own]))

@@ -9,16 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattweave.llm.common import id_and_text, stored
-from wattweave.llm.homes import CHUNK_BYTES, COUNT, Homes, answered, found_twice, to_owners
+from wattweave.llm.homes import COUNT, Homes, answered, found_twice, to_owners
 
 #: The multipliers of the rolling hashes, odd and without structure.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
            0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 BITS = 52
 PLACE_BITS = 22
-PART = 1 << 20
-HOT = 64
-PER_OWNER = 1_000_000
+PART = 1 << 19
+HOT = (64, 100_000)
+CHUNK_BYTES = 1_000_000
+PER_OWNER = 400_000
 NO_ID = np.iinfo(np.int64).max
 ANSWERS = "part long, at long, kind int, value binary"
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -31,19 +32,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def gram_hash(data: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit hash of the `length` bytes from each position, by doubling; shorter by length - 1."""
-    h, have = data.astype(np.uint64) + np.uint64(1), 1
-    powers, bit = {1: h}, 0
-    while have * 2 <= length:
-        h = h[:-have] * np.uint64(FACTORS[bit]) + h[have:]
-        have, bit = have * 2, bit + 1
-        powers[have] = h
+    h, n = data.astype(np.uint64) + np.uint64(1), len(data) - length + 1
     out, done = None, 0
-    for size in sorted(powers, reverse=True):
-        if length - done >= size:
-            n = len(data) - length + 1
-            block = powers[size][done : done + n]
-            out = block if out is None else out[:n] * np.uint64(FACTORS[6]) + block
-            done += size
+    for bit in range(length.bit_length()):
+        if length >> bit & 1:
+            block = h[done : done + n]
+            out = block.copy() if out is None else out * np.uint64(FACTORS[6]) + block
+            done += 1 << bit
+        if length >> (bit + 1):
+            h = h[: -(1 << bit)] * np.uint64(FACTORS[bit]) + h[1 << bit :]
     return mixed(out)
 
 
@@ -91,12 +88,19 @@ class Part:
         self.text = np.array([p[0] for p in pieces], np.int64)[np.searchsorted(self.starts, self.low, "right") - 1]
 
     def distinct(self):
-        """Sorted distinct first digits, which of them are in several texts, and each run's number in that list."""
+        """Sorted distinct first digits, which of them are in several texts, which in runs that differ in their ends,
+        and each run's number in that list."""
         values, inverse = np.unique(self.digit, return_inverse=True)
         least, most = np.full(len(values), NO_ID), np.full(len(values), -1)
         np.minimum.at(least, inverse, self.text)
         np.maximum.at(most, inverse, self.text)
-        return values, least != most, inverse
+        context = self.at - self.low + 256 * (self.high - self.low)
+        if len(values):
+            context += 65_536 * (self.data[self.low] + 256 * self.data[self.high + self.depth - 1].astype(np.int64))
+        one, other = np.full(len(values), NO_ID), np.full(len(values), -1)
+        np.minimum.at(one, inverse, context)
+        np.maximum.at(other, inverse, context)
+        return values, least != most, one != other, inverse
 
     def records(self, repeated: np.ndarray, hot: np.ndarray):
         """Runs whose first digit is repeated; where it is hot, single windows instead, to be dealt by their own hash.
@@ -184,7 +188,7 @@ def compare(messages, depth: int):
     sizes = np.diff(np.append(borders, len(order)))
     order = order[np.repeat(sizes, sizes) > 1]
     found = []
-    for some in whole_groups(order, digit, 20_000):
+    for some in whole_groups(order, digit, 10_000):
         pick = np.repeat(ends[some] - length[some], length[some]) + np.arange(length[some].sum()) - np.repeat(
             np.cumsum(length[some]) - length[some], length[some])
         least = least_ids(digit[some], off[some], length[some], ids[some], content[pick], depth)
@@ -218,15 +222,15 @@ def whole_groups(order, digit, most):
         a = b
 
 
-def suffix_dedup(docs: DataFrame, depth: int = 50, hot: int = HOT, per_owner: int = PER_OWNER,
+def suffix_dedup(docs: DataFrame, depth: int = 50, hot: tuple[int, int] = HOT, per_owner: int = PER_OWNER,
                  chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every whole text, as UTF-8.
 
     Removed is each byte covered by a string of `depth` bytes that starts in a document of a smaller doc_id too. The
     passes: the first digit of all windows, Golomb-coded, finds which are repeated; the bytes of repeated runs, one copy
     a chunk, go to the owner of their digit, who sorts the windows by the rest of their bytes; the ids come back to the
-    rows, where the covered bytes are cut. A digit in `hot` chunks or more is dealt by whole windows, so no owner has
-    all contexts of a common passage. Windows are compared by 116 bits of hash. Texts are read three times and never
+    rows, where the covered bytes are cut. A digit that is in unlike runs in hot[0] chunks, or is in hot[1] chunks, is
+    dealt by whole windows, so no owner has all contexts of a common passage. Windows are compared by 116 bits of hash. Texts are read three times and never
     shuffled. Null text: empty. Null doc_id: larger than any, and equal ids remove nothing from each other. Texts
     shorter than `depth` keep all. Repeated rows stay, a row each. Empty table: no rows. Other columns are not read.
     """
@@ -239,15 +243,15 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, hot: int = HOT, per_owner: in
 
     def send(part, row, rows):
         for sub, p in enumerate(parts_of(rows, depth)):
-            values, several, _ = p.distinct()
-            yield from to_owners(values, several, (part, row, sub), BITS, owner_bits)
+            values, several, unlike, _ = p.distinct()
+            yield from to_owners(values, several, (part, row, sub), BITS, owner_bits, unlike)
 
     def with_answers(rows, answers):
         by_sub: dict[int, list] = {}
         for answer in answers:
             by_sub.setdefault(answer[0], []).append(answer[1:])
         for sub, p in enumerate(parts_of(rows, depth)):
-            values, _, inverse = p.distinct()
+            values, _, _, inverse = p.distinct()
             own = by_sub.get(sub, [])
             repeated, often = (answered(values, own, BITS, owner_bits, k)[inverse] for k in (3, 4))
             yield sub, p, p.records(repeated, often)
