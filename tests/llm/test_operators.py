@@ -175,7 +175,7 @@ def brute_similar(rows, least=0.8):
                    for v in classes.values() for k in v), key=repr)
 
 
-@pytest.mark.parametrize("options", [{}, {"limit": 6, "block": 5, "depth": 3}])
+@pytest.mark.parametrize("options", [{}, {"limit": 6, "block": 5, "depth": 3}, {"limit": 6, "block": 5, "depth": 3, "dense": 2.0}])
 def test_similar_texts_equal_brute_force(docs, placed, options):
     got = similar_texts(docs, **options).collect()
     assert sorted((tuple(r)[:4] for r in got), key=repr) == brute_similar(placed)

@@ -16,10 +16,11 @@ from wattweave.llm.homes import COUNT, Homes
 SHINGLE = 5
 LEAST = 0.8
 RECALL = 0.999999
-LIMIT = 2_048
+LIMIT = 1_024
 DEPTH = 4
 DEEP_RATE = 3.0
-BLOCK = 1_024
+BLOCK = 512
+DENSE = 0.4
 BINS = 64
 #: Odd multipliers without structure.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -98,6 +99,14 @@ def sampled(tokens: np.ndarray, path: np.uint64, rate: float, taken=()) -> np.nd
     return some[~np.isin(some, np.array(taken, np.uint64))] if len(taken) else some
 
 
+def first_paths(tokens: np.ndarray, salts: tuple[np.ndarray, np.ndarray], rate: float) -> np.ndarray:
+    """All runs at once: what extended(run, sampled(tokens, run, rate)) gives for each run, whose hashes are the salts."""
+    border = min(1.0, rate / len(tokens))
+    h = mixed(tokens[None, :] ^ salts[0][:, None])
+    run, token = np.nonzero((h >> np.uint64(11)).astype(np.float64) < border * 2.0**53)
+    return mixed(tokens[token] * FACTORS[6] + salts[1][run])
+
+
 def extended(path: np.uint64, tokens: np.ndarray) -> np.ndarray:
     return mixed(tokens * FACTORS[6] + mixed(np.array([path]) + np.uint64(1))[0])
 
@@ -121,13 +130,15 @@ def groups_of(batches):
 
 def local_roots(links: np.ndarray) -> np.ndarray:
     """The least number in each row's component."""
-    label = np.arange(len(links))
-    while True:
-        new = np.minimum(label, np.where(links, label[None, :], len(label)).min(axis=1, initial=len(label)))
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+    root = np.full(len(links), -1)
+    for i in range(len(links)):
+        if root[i] < 0:
+            root[i], waiting = i, [i]
+            while waiting:
+                new = np.flatnonzero(links[waiting.pop()] & (root < 0))
+                root[new] = i
+                waiting.extend(new.tolist())
+    return root
 
 
 def bytes_matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -187,6 +198,17 @@ def exact_links(batches, least: float):
                                           pa.array(place[local_roots(links)])], names=["place", "links", "root"])
 
 
+def likeness(buckets: DataFrame, reps: DataFrame, bins: int = 8) -> DataFrame:
+    """(path, alike): the mean similarity of each bucket's pairs, as far as so many bins of the sketches tell. Counts
+    of equal values stand for the pairs."""
+    values = F.array(*[F.struct(F.lit(j).alias("bin"), F.substring("sketch", j + 1, 1).alias("v")) for j in range(bins)])
+    each = buckets.select("path", "members", "place").join(reps.select("place", "sketch"), "place").select(
+        "path", "members", F.explode(values).alias("x"))
+    counts = each.groupBy("path", "members", "x.bin", "x.v").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return counts.groupBy("path", "members").agg((F.sum(F.col("n") * F.col("n")) / bins).alias("same")).select(
+        "path", (F.col("same") / F.col("members") / F.col("members")).alias("alike"))
+
+
 def in_blocks(df: DataFrame, group: str, size: int) -> DataFrame:
     """Rows with `members` (of the group) dealt to pairs of blocks of about `size` rows: k, half and the old columns.
 
@@ -205,15 +227,16 @@ def in_blocks(df: DataFrame, group: str, size: int) -> DataFrame:
 
 def similar_texts(docs: DataFrame, least: float = LEAST, recall: float = RECALL, shingle: int = SHINGLE,
                   limit: int = LIMIT, depth: int = DEPTH, block: int = BLOCK,
-                  row: str | None = None) -> DataFrame:
+                  dense: float = DENSE, row: str | None = None) -> DataFrame:
     """doc_id, class_id, copy_id, n_links and kept of every text: similar are word shingle sets of Jaccard `least` or more.
 
     copy_id is the smallest doc_id of the texts with the same shingles, which count as one in what follows; n_links
     the number of other such sets that are similar; class_id the smallest doc_id that can be reached over links; kept is true for one text of each class.
 
     Each run samples tokens so that a similar pair shares a sampled one with probability 1 - 1/e or more; the number of
-    runs comes from `recall`. A bucket of more than `limit` sets is split on further tokens, `depth` levels at most;
-    what is still larger is compared in pairs of blocks, as are families. In buckets sets meet as sketches of 72 bytes;
+    runs comes from `recall`. A bucket of more than `limit` sets is split on further tokens, `depth` levels at most,
+    unless its sets are `dense` or more alike on average, as splits do not part near copies; what is still larger is
+    compared in pairs of blocks, as are families. In buckets sets meet as sketches of 72 bytes;
     components of what can be similar (six standard deviations) are families. Each family's token sets come from the
     texts' own places, once for each block they meet, and are compared exactly. No pairs are written, only counts and
     stars, so thousands of near copies give as many rows. Texts without words (null and empty) are in no group. Null
@@ -224,6 +247,7 @@ def similar_texts(docs: DataFrame, least: float = LEAST, recall: float = RECALL,
     runs = [np.uint64(r + 1) for r in range(max(1, math.ceil(-math.log(1 - recall))))]
     texts = id_and_text(docs, (F.col(row) if row else F.lit(None)).cast("string").alias("row"))
     home = Homes(texts, lambda r: len(r[1]))
+    salts = mixed(np.array(runs)), mixed(np.array(runs) + np.uint64(1))
 
     def describe(part, row, rows):
         for i, (doc_id, text, name) in enumerate(rows):
@@ -232,7 +256,7 @@ def similar_texts(docs: DataFrame, least: float = LEAST, recall: float = RECALL,
                 yield place, doc_id, b"none" + place.to_bytes(8, "big"), 0, None, [], name
                 continue
             sig = mixed(t).sum(dtype=np.uint64).tobytes() + (mixed(t ^ FACTORS[3])).sum(dtype=np.uint64).tobytes()
-            paths = np.concatenate([extended(r, sampled(t, r, 1 / least)) for r in runs])
+            paths = first_paths(t, salts, 1 / least)
             yield place, doc_id, sig, len(t), sketch_of(t), paths.view(np.int64).tolist(), name
 
     described = home.rdd.mapPartitionsWithIndex(lambda part, rows: numbered(part, rows, describe))
@@ -253,6 +277,9 @@ def similar_texts(docs: DataFrame, least: float = LEAST, recall: float = RECALL,
         large = met.where(F.col("members") > limit)
         if level == depth or large.isEmpty():
             break
+        alike = stored(likeness(large, reps).where(F.col("alike") >= dense).select("path"), "dense-buckets")
+        ready.append(large.join(alike, "path", "left_semi"))
+        large = large.join(alike, "path", "left_anti")
 
         def split(n, row, value, text):
             t = tokens_of(text, shingle)
