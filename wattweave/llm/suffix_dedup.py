@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,7 +21,7 @@ PLACE_BITS = 22
 PART = 1 << 19
 HOT = (64, 100_000)
 CHUNK_BYTES = 1_000_000
-PER_OWNER = 400_000
+PER_OWNER = 800_000
 NO_ID = np.iinfo(np.int64).max
 ANSWERS = "part long, at long, kind int, value binary"
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -179,7 +181,7 @@ def compare(messages, depth: int):
         return
     digit = np.concatenate([m[1] for m in got])
     off, length = (np.concatenate([m[k] for m in got]).astype(np.int64) for k in (2, 3))
-    ids, content = np.concatenate([m[4] for m in got]), np.frombuffer(b"".join(m[5] for m in got), np.uint8)
+    ids, content = np.concatenate([m[4] for m in got]), np.frombuffer(b"".join(zlib.decompress(m[5]) for m in got), np.uint8)
     ends = np.cumsum(length)
     message = np.repeat(np.arange(len(got)), [len(m[1]) for m in got])
     number = np.concatenate([m[6] for m in got])
@@ -271,7 +273,7 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, hot: tuple[int, int] = HOT, p
                 length = high[f] - low[f] + depth
                 pick = np.repeat(low[f], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
                 yield int(owner[some[0]]), ((part, row, sub), digit[f], (at - low)[f].astype(np.uint8), length.astype(np.uint8),
-                                            least[some], p.data[pick].tobytes(), some.astype(np.int32))
+                                            least[some], zlib.compress(p.data[pick].tobytes(), 1), some.astype(np.int32))
 
     def last(part, row, rows, answers):
         ids = ids_of(rows)
@@ -307,16 +309,12 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, hot: tuple[int, int] = HOT, p
 
     def coded(kind):
         def run(answers):
-            import pickle
-
             for (part, at), value in answers:
                 yield part, at, kind, pickle.dumps(value, 5)
 
         return run
 
     def answers_of(df, with_kind):
-        import pickle
-
         def decoded(r):
             value = pickle.loads(bytes(r[3]))
             return (r[0], r[1]), value if r[1] == COUNT or not with_kind else (r[2], value)
