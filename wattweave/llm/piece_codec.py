@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from wattweave.llm.common import Memo, id_and_text, slices
 
 SPACE = "▁"
-ROOM = 300_000
+ROOM = 400_000
 SHORT = 32
 NONE = float("-inf")
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -107,8 +107,9 @@ class MergeVocabulary:
         out = b"".join(self.piece[i].encode("utf-8") if i in self.piece else bytes([self.of_byte[i]]) for i in ids)
         return out.decode("utf-8", "replace").replace(SPACE, " ")
 
-    def compute(self, chunks: list[str]) -> list[tuple[str, str]]:
-        """Ids and decoded text of chunks not met before, each held against the library's."""
+    def compute(self, chunks: list[str]) -> list[str | tuple[str, str]]:
+        """Ids of chunks not met before, each held against the library's; with the decoded text if that isn't the
+        chunk itself."""
         ids = [self.ids(c) for c in chunks]
         # the library puts its prefix before what it is given: a chunk goes behind a border, and the border's ids go off
         border = "\n" if self.alone else SPACE
@@ -124,7 +125,8 @@ class MergeVocabulary:
         for chunk, own, lib in zip(given, expected, self.library.encode(given, num_threads=1)):
             if own != lib:
                 raise RuntimeError(f"the agenda and the library differ on {chunk[:80]!r}: {own[:40]} and {lib[:40]}")
-        return [(",".join(map(str, x)), self.text(x)) for x in ids]
+        plain = [",".join(map(str, x)) for x in ids]
+        return [p if (t := self.text(x)) == c.replace(SPACE, " ") else (p, t) for c, p, x in zip(chunks, plain, ids)]
 
     def encode(self, text: str) -> list[int]:
         return [i for c in self.chunks(self.prefix + text.replace(" ", SPACE)) for i in self.ids(c)] if text else []
@@ -137,11 +139,16 @@ class MergeVocabulary:
         """Number of ids, digest of the ids and digest of the decoded text of each text."""
         out = []
         for run in slices(texts):
-            cut = [self.chunks(self.prefix + t.replace(" ", SPACE)) if t else [] for t in run]
+            given = [self.prefix + t.replace(" ", SPACE) if t else "" for t in run]
+            cut = [self.chunks(g) for g in given]
             known = self.memo.lookup(set().union(*cut), self.compute)
-            for x in cut:
+            for g, x in zip(given, cut):
                 found = [known[c] for c in x]
-                ids, text = ",".join([f[0] for f in found]), "".join([f[1] for f in found])
+                try:
+                    ids, text = ",".join(found), g.replace(SPACE, " ")
+                except TypeError:  # some chunk decodes to another text
+                    both = [(f, c.replace(SPACE, " ")) if isinstance(f, str) else f for f, c in zip(found, x)]
+                    ids, text = ",".join([f[0] for f in both]), "".join([f[1] for f in both])
                 if self.prefix and text.startswith(" "):
                     text = text[1:]
                 out.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(),
