@@ -199,14 +199,13 @@ def exact_links(batches, least: float):
 
 
 def likeness(buckets: DataFrame, reps: DataFrame, bins: int = 8) -> DataFrame:
-    """(path, alike): the mean similarity of each bucket's pairs, as far as so many bins of the sketches tell. Counts
-    of equal values stand for the pairs."""
-    values = F.array(*[F.struct(F.lit(j).alias("bin"), F.substring("sketch", j + 1, 1).alias("v")) for j in range(bins)])
-    each = buckets.select("path", "members", "place").join(reps.select("place", "sketch"), "place").select(
-        "path", "members", F.explode(values).alias("x"))
-    counts = each.groupBy("path", "members", "x.bin", "x.v").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    return counts.groupBy("path", "members").agg((F.sum(F.col("n") * F.col("n")) / bins).alias("same")).select(
-        "path", (F.col("same") / F.col("members") / F.col("members")).alias("alike"))
+    """(path, alike): about the mean similarity of each bucket's pairs. Each set shows one of so many bins of its sketch,
+    by a hash of its place; counts of equal values in a bin stand for the pairs."""
+    each = buckets.select("path", "place").join(reps.select("place", "sketch"), "place").withColumn(
+        "bin", F.pmod(F.xxhash64("place", F.lit(3)), F.lit(bins)).cast("int"))
+    counts = each.groupBy("path", "bin", F.expr("substring(sketch, bin + 1, 1)").alias("v")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    pairs = counts.groupBy("path", "bin").agg(F.sum(F.col("n") * F.col("n")).alias("same"), F.sum("n").alias("all"))
+    return pairs.groupBy("path").agg((F.sum("same") / F.sum(F.col("all") * F.col("all"))).alias("alike"))
 
 
 def in_blocks(df: DataFrame, group: str, size: int) -> DataFrame:
