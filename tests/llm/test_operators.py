@@ -349,6 +349,19 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
         9: ("MIT", "directory", "a"), 10: ("GPL-3.0", "header", None), 11: ("MIT", "directory", "a"), 12: (None, "none", None)}
 
 
+def test_licence_headers_of_null_and_repeated_ids(spark):
+    mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
+    part = "under the MIT License, see below"  # nearer than half to MIT, and not near enough
+    rows = [(None, "a/x", mit), (None, "a/y", gpl), (1, "b/x", mit), (1, "b/x", mit), (2, "c/x", part), (2, "c/x", part), (2, "c/x", part),
+            (3, "d/x", mit), (3, "d/y", gpl), (3, "d/z", "plain")]
+    df = spark.createDataFrame(rows, "file long, path string, text string").repartition(3)
+    got = sorted((tuple(r) for r in license_scan.scan_licenses(df).collect()), key=repr)
+    assert got == sorted([
+        (None, "MIT", 1.0, "header", None), (None, "GPL-3.0", 1.0, "header", None), *[(1, "MIT", 1.0, "header", None)] * 2,
+        *[(2, None, None, "none", None)] * 3, (3, "MIT", 1.0, "header", None), (3, "GPL-3.0", 1.0, "header", None),
+        (3, None, None, "none", None)], key=repr)
+
+
 def test_join_counted_splits_hot_keys(spark):
     rows = spark.range(5_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 2_000)).alias("k"), "id")
     classes = rows.groupBy("k").agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattweave.llm.common import join_counted, stored
@@ -44,26 +44,39 @@ def template_terms(templates: dict[str, str]) -> tuple[list[tuple], float]:
     return rows, math.log(1 + len(templates))
 
 
-def own_licenses(files: DataFrame, templates: dict[str, str], least: float) -> DataFrame:
-    """file, license, score: the best template of each file that has a line as near as `least` to one.
+def own_license(text: Column, templates: dict[str, str], least: float) -> Column:
+    """Of one row's text a struct of s (score, negated) and template: the best template that one of its lines is as near
+    as `least` to, or null.
 
     A header is a line of the text with a word of CUE. Its distinct terms weigh ln(1 + templates / templates with the
-    term); terms of no template weigh most. Cosines are rounded to 6 places; of equals the first template by name.
+    term); terms of no template weigh most. Cosines are rounded to 6 places; of equals the first template by name. Each
+    row is scored by itself, so neither equal rows nor equal ids meet.
     """
     rows, rare = template_terms(templates)
-    terms = files.sparkSession.createDataFrame(rows, "template string, t string, idf double, unit double")
-    idf = F.broadcast(terms.groupBy("t").agg(F.first("idf").alias("idf")).withColumnRenamed("t", "u"))
-    lines = files.where(F.col("text").rlike(CUE)).select("file", F.posexplode(F.split("text", "\n")).alias("line", "value")).where(
-        F.col("value").rlike(CUE))
-    each = lines.select("file", "line", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit(TERM), F.lit(0)))).alias("t"))
-    weighed = each.join(idf, F.col("t") == F.col("u"), "left").withColumn("idf", F.coalesce("idf", F.lit(rare)))
-    # a line's terms are few; its norm is kept with each template's part of the product
-    norms = weighed.groupBy("file", "line").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    dots = weighed.select("file", "line", "t", "idf").join(F.broadcast(terms.select("template", F.col("t").alias("v"), "unit")), F.col("t") == F.col("v"))
-    dots = dots.groupBy("file", "line", "template").agg(F.sum(F.col("idf") * F.col("unit")).alias("dot"))
-    scored = dots.join(norms, ["file", "line"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= least)
-    best = F.min(F.struct((-F.col("score")).alias("s"), "template"))
-    return scored.groupBy("file").agg(best.alias("b")).select("file", F.col("b.template").alias("license"), (-F.col("b.s")).alias("score"))
+
+    def known(pairs: dict[str, float]) -> Column:
+        return F.create_map(*[F.lit(v) for pair in sorted(pairs.items()) for v in pair])
+
+    idf = known({t: i for _, t, i, _ in rows})
+    units = {k: known({t: u for name, t, _, u in rows if name == k}) for k in sorted(templates)}
+
+    def scores(line: Column) -> Column:
+        terms = F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(TERM), F.lit(0)))
+        return F.transform(F.array(terms), lambda ts: cosines(
+            F.transform(ts, lambda t: F.struct(t.alias("t"), F.coalesce(F.try_element_at(idf, t), F.lit(rare)).alias("w")))))[0]
+
+    def total(weighed: Column, part) -> Column:
+        return F.aggregate(weighed, F.lit(0.0), lambda so_far, x: so_far + x["w"] * part(x))
+
+    def cosines(weighed: Column) -> Column:
+        # a cue is a term, so the norm is not 0
+        norm = F.sqrt(total(weighed, lambda x: x["w"]))
+        dots = {k: total(weighed, lambda x: F.coalesce(F.try_element_at(unit, x["t"]), F.lit(0.0))) for k, unit in units.items()}
+        return F.array(*[F.struct((-F.round(dot / norm, 6)).alias("s"), F.lit(k).alias("template")) for k, dot in dots.items()])
+
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(CUE))
+    near = F.filter(F.flatten(F.transform(lines, scores)), lambda x: x["s"] <= -least)
+    return F.when(text.rlike(CUE), F.array_min(near))
 
 
 def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
@@ -72,16 +85,15 @@ def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None, lea
     A file's own header comes first. Else it has the licence of the nearest of its directories, upwards, that has a
     licence file (a name like LICENSE, COPYING or NOTICE) with a licence; of several there the best score, then the
     first name. Only the distinct directories are expanded to their ancestors and joined; files meet their directory's
-    answer in a join that broadcasts directories with many files. `file` must tell rows apart.
+    answer in a join that broadcasts directories with many files. `file` is only passed on: it may be null or repeated.
     Null or empty text: no header. Null path: no directory, so only a header counts. Repeated rows stay, each with the
     same answer. Empty table: no rows. Other columns are not read.
     """
     templates = TEMPLATES if templates is None else templates
     files = files.select("file", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
-    own = stored(own_licenses(files, templates, least), "headers")
-    light = files.select("file", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
-    light = light.join(own.withColumnRenamed("file", "f"), F.col("file").eqNullSafe(F.col("f")), "left").drop("f")
-    light = stored(light, "files")
+    light = stored(files.select("file", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"),
+                                own_license(F.col("text"), templates, least).alias("own")), "files")
+    light = light.select("file", "dir", "name", F.col("own.template").alias("license"), (-F.col("own.s")).alias("score"))
     best = F.min(F.struct((-F.col("score")).alias("s"), "license"))
     holds = light.where(F.col("license").isNotNull() & F.col("name").rlike(FILE) & (F.col("dir") != "")).groupBy("dir").agg(best.alias("b"))
     holds = holds.select(F.col("dir").alias("from_dir"), F.col("b.license").alias("dir_license"), (-F.col("b.s")).alias("dir_score"))
