@@ -349,6 +349,18 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
         9: ("MIT", "directory", "a"), 10: ("GPL-3.0", "header", None), 11: ("MIT", "directory", "a"), 12: (None, "none", None)}
 
 
+def test_licences_in_the_root_directory(spark):
+    mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
+    rows = [(1, "LICENSE", mit), (2, "src/a.py", "plain"), (3, "b.py", "plain"), (4, "src/deep/COPYING", gpl), (5, "src/deep/c.py", ""),
+            (6, "/LICENSE", gpl), (7, "/src/a.py", "plain"), (8, "/b.py", None), (9, None, "plain"), (10, None, mit)]
+    df = spark.createDataFrame(rows, "file long, path string, text string")
+    got = {r.file: (r.license, r.found, r.from_dir) for r in license_scan.scan_licenses(df).collect()}
+    assert got == {
+        1: ("MIT", "header", None), 2: ("MIT", "directory", ""), 3: ("MIT", "directory", ""), 4: ("GPL-3.0", "header", None),
+        5: ("GPL-3.0", "directory", "src/deep"), 6: ("GPL-3.0", "header", None), 7: ("GPL-3.0", "directory", "/"),
+        8: ("GPL-3.0", "directory", "/"), 9: (None, "none", None), 10: ("MIT", "header", None)}
+
+
 def test_licence_headers_of_null_and_repeated_ids(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     part = "under the MIT License, see below"  # nearer than half to MIT, and not near enough

@@ -82,29 +82,37 @@ def own_license(text: Column, templates: dict[str, str], least: float) -> Column
 def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
     """file, license, score, found ('header', 'directory' or 'none') and from_dir of each (file, path, text) row.
 
-    A file's own header comes first. Else it has the licence of the nearest of its directories, upwards, that has a
+    A file's own header comes first. Else it has the licence of the nearest of its directories, up to the root, that has a
     licence file (a name like LICENSE, COPYING or NOTICE) with a licence; of several there the best score, then the
     first name. Only the distinct directories are expanded to their ancestors and joined; files meet their directory's
     answer in a join that broadcasts directories with many files. `file` is only passed on: it may be null or repeated.
+    from_dir of the root is / for absolute paths and empty for relative ones.
     Null or empty text: no header. Null path: no directory, so only a header counts. Repeated rows stay, each with the
     same answer. Empty table: no rows. Other columns are not read.
     """
     templates = TEMPLATES if templates is None else templates
-    files = files.select("file", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
-    light = stored(files.select("file", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"),
+    files = files.select("file", "path", F.coalesce("text", F.lit("")).alias("text"))
+    # the root is / of absolute paths and empty for relative ones; a null path has a null directory
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    folder = F.when(F.col("path").startswith("/") & (folder == ""), "/").otherwise(folder)
+    light = stored(files.select("file", folder.alias("dir"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"),
                                 own_license(F.col("text"), templates, least).alias("own")), "files")
-    light = light.select("file", "dir", "name", F.col("own.template").alias("license"), (-F.col("own.s")).alias("score"))
+    place = F.coalesce(F.concat(F.lit("="), "dir"), F.lit("-"))  # a key for null directories too
+    light = light.select("file", "dir", "name", place.alias("place"), F.col("own.template").alias("license"), (-F.col("own.s")).alias("score"))
     best = F.min(F.struct((-F.col("score")).alias("s"), "license"))
-    holds = light.where(F.col("license").isNotNull() & F.col("name").rlike(FILE) & (F.col("dir") != "")).groupBy("dir").agg(best.alias("b"))
+    holds = light.where(F.col("license").isNotNull() & F.col("name").rlike(FILE) & F.col("dir").isNotNull()).groupBy("dir").agg(best.alias("b"))
     holds = holds.select(F.col("dir").alias("from_dir"), F.col("b.license").alias("dir_license"), (-F.col("b.s")).alias("dir_score"))
-    dirs = light.groupBy("dir").agg(F.count(F.lit(1)).alias("n_files"))
+    dirs = light.groupBy("place", "dir").agg(F.count(F.lit(1)).alias("n_files"))
     steps = F.split("dir", "/")
-    up = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))).alias("up"))
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
+    root = F.when(F.col("dir").startswith("/"), "/").otherwise("")
+    above = F.array_union(F.array(root), F.filter(above, lambda x: x != ""))
+    up = dirs.where(F.col("dir").isNotNull()).select("dir", F.explode(above).alias("up"))
     near = up.join(holds, F.col("up") == F.col("from_dir")).groupBy("dir").agg(
         F.max(F.struct(F.length("from_dir").alias("n"), "from_dir", "dir_license", "dir_score")).alias("h"))
     answers = stored(dirs.join(near, "dir", "left").select(
-        "dir", "n_files", "h.from_dir", "h.dir_license", "h.dir_score"), "directories")
-    rows = join_counted(light, answers, "dir", "n_files", light.count())
+        "place", "n_files", "h.from_dir", "h.dir_license", "h.dir_score"), "directories")
+    rows = join_counted(light, answers, "place", "n_files", light.count())
     header, by_dir = F.col("license").isNotNull(), F.col("dir_license").isNotNull()
     return rows.select(
         "file", F.coalesce("license", "dir_license").alias("license"), F.coalesce("score", "dir_score").alias("score"),
@@ -119,7 +127,7 @@ def paths_of(docs: DataFrame) -> DataFrame:
     name = F.when(F.pmod(i, F.lit(100)) < 3, F.concat(F.lit("LICENSE-"), i)).otherwise(F.concat(i, F.lit(".txt")))
     folder = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(i / 1000), F.floor(i / 100))
     return docs.select(i.alias("file"), F.when((F.pmod(i, F.lit(1000)) == 1), F.concat_ws("/", F.coalesce("source", F.lit("unknown")), name)).otherwise(
-        F.concat_ws("/", folder, name)).alias("path"), "text")
+        F.when(i.isNotNull(), F.concat_ws("/", folder, name))).alias("path"), "text")
 
 
 def document_licenses(docs: DataFrame) -> DataFrame:
