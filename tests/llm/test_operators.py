@@ -216,6 +216,31 @@ def test_kernel_ridge_separates_languages():
     assert (language_id.presence(["abc" * 9]) == language_id.presence(["abc" * 30])).all()
 
 
+def test_language_of_held_out_texts_joined_to_a_million_characters(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language_id.train(docs)
+    held = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0 and lang is not null and text is not null")
+    joined = collections.defaultdict(list)
+    for r in held.orderBy("doc_id").select("lang", "text").collect():
+        joined[r.lang].append(r.text)
+    texts = {k: "\n".join(v) for k, v in joined.items()}
+    whole = {k: t * (1 + 1_000_000 // len(t)) for k, t in texts.items()}
+    short, _ = model.score([t[:8_000] for t in texts.values()])
+    found, scores = model.score(list(whole.values()))
+    assert short == found == list(whole) and min(len(t) for t in whole.values()) > 1_000_000
+    assert scores.min() > 0.55
+
+
+def test_windows_cover_the_text(monkeypatch):
+    monkeypatch.setattr(language_id, "WINDOW", 10)
+    for n in (0, 1, 9, 10, 11, 35, 100):
+        text = "".join(chr(97 + i % 26) + str(i) for i in range(n))[:n]
+        parts = language_id.windows(text)
+        grams = {text[i : i + k] for k in language_id.ORDERS for i in range(len(text) - k + 1)}
+        assert grams == {p[i : i + k] for p in parts for k in language_id.ORDERS for i in range(len(p) - k + 1)}
+        assert max(map(len, parts)) <= 10 + 3
+
+
 def test_presence_of_long_texts_is_whole(monkeypatch):
     text = "".join(random.Random(2).choice("abcdefgh ") for _ in range(5_000))
     whole = language_id.presence([text])

@@ -16,6 +16,8 @@ TRAIN_ROWS = 8_000
 RIDGE = 1e-3
 UNKNOWN = "und"
 RUN = 500_000
+#: Characters of a window. Windows cover the whole text; one fills well under all of the bins.
+WINDOW = 8_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,31 +43,60 @@ def presence(texts: list[str]) -> np.ndarray:
     return out
 
 
+def windows(text: str) -> list[str]:
+    """The whole text in parts of equal length, WINDOW or less, that overlap so that no n-gram is cut."""
+    step = max(1, -(-len(text) // max(1, -(-len(text) // WINDOW))))
+    return [text[i : i + step + max(ORDERS) - 1] for i in range(0, len(text), step)] or [text]
+
+
+def unit_windows(texts: list[str]):
+    """Some windows at a time: the text each is of, and its row of presence over the root of its sum, times its share."""
+    rows, parts, shares = [], [], []
+    for i, text in enumerate(texts):
+        some = windows(text)
+        rows += [i] * len(some)
+        parts += some
+        shares += [1 / len(some)] * len(some)
+    for i in range(0, len(parts), 256):
+        x = presence(parts[i : i + 256]).astype(np.float32)
+        norm = np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+        yield np.array(rows[i : i + 256]), x, norm, np.array(shares[i : i + 256])[:, None]
+
+
 @dataclass
 class Model:
     """languages in code point order, and weights (bins by languages): the landmarks' kernel columns times the
-    coefficients. The kernel is linear in presence, so one matrix product scores a batch."""
+    coefficients. The kernel is linear in presence, so one matrix product scores a batch. A long text's values are the means of its windows' values."""
 
     languages: list[str]
     weights: np.ndarray
 
     def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        x = presence(texts).astype(np.float32)
-        norm = np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-        values = (x @ self.weights) / norm
+        values = np.zeros((len(texts), len(self.languages)))
+        for rows, x, norm, shares in unit_windows(texts):
+            np.add.at(values, rows, (x @ self.weights) / norm * shares)
         best = values.argmax(axis=1)
         return [self.languages[i] for i in best], np.clip(values[np.arange(len(texts)), best], 0.0, 1.0).astype(float)
 
 
-def fit(x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+def features(text: str) -> bytes:
+    """The bits of a text of one window, or else the mean of the windows' unit rows as half floats."""
+    if len(windows(text)) == 1:
+        return np.packbits(presence([text])[0]).tobytes()
+    return sum((x / norm * shares).sum(axis=0) for _, x, norm, shares in unit_windows([text])).astype(np.float16).tobytes()
+
+
+def fit(x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE, norm: np.ndarray | None = None) -> Model:
     """One-versus-rest kernel ridge regression in the span of the landmarks, which are dealt evenly to the languages.
 
-    k(a, b) = shared bins / sqrt(bins of a * bins of b); z = k(x, landmarks) W^-1/2; targets are 0 and 1, and each
+    k(a, b) = shared bins / sqrt(bins of a * bins of b), and the mean of it over the windows of long texts; norm is what
+    rows are divided by, if not the root of their sums; z = k(x, landmarks) W^-1/2; targets are 0 and 1, and each
     language weighs the same.
     """
     languages = sorted(set(labels))
     y = np.array([[label == language for language in languages] for label in labels], np.float64)
-    norm = np.sqrt(np.maximum(x.sum(axis=1, keepdims=True, dtype=np.int64), 1))
+    if norm is None:
+        norm = np.sqrt(np.maximum(x.sum(axis=1, keepdims=True, dtype=np.int64), 1))
     each = max(1, landmarks // len(languages))
     chosen = np.concatenate([np.flatnonzero(y[:, c])[:each] for c in range(len(languages))])
     marks = x[chosen] / norm[chosen]
@@ -96,24 +127,31 @@ def training_rows(docs: DataFrame, most: int) -> DataFrame:
 def train(docs: DataFrame, most: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> Model | None:
     """Learn from rows whose crc32(doc_id) mod 5 is not 0: a sample of about `most` rows, the documented bound.
 
-    Presence is computed by the executors; BINS bits a row come to the driver, about 4 MB in all.
+    Presence is computed by the executors; BINS bits a row come to the driver, about 4 MB in all, and BINS half floats a
+    row of more than a window, at most 64 MB.
     """
 
     def bits(batches):
         for b in batches:
-            packed = np.packbits(presence(b.column("text").to_pylist()), axis=1)
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([p.tobytes() for p in packed], pa.binary())],
+            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([features(t) for t in b.column("text").to_pylist()], pa.binary())],
                                              names=["lang", "bits"])
 
     rows = training_rows(docs, most).mapInArrow(bits, "lang string, bits binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r[0], bytes(r[1])))
-    x = np.unpackbits(np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.uint8).reshape(len(rows), -1), axis=1)
     order = np.random.default_rng(5).permutation(len(rows))
     labels = [rows[i][0] for i in order]
+    x, norm = np.zeros((len(rows), BINS), np.float16), np.ones((len(rows), 1))
+    for place, i in enumerate(order):
+        bits = np.frombuffer(bytes(rows[i][1]), np.uint8)
+        if len(bits) == BINS // 8:
+            x[place] = np.unpackbits(bits)
+            norm[place] = np.sqrt(max(1, np.count_nonzero(x[place])))
+        else:
+            x[place] = bits.view(np.float16)
     del rows
-    return fit(x[order], labels, landmarks)
+    return fit(x, labels, landmarks, norm=norm)
 
 
 def predict(docs: DataFrame, model: Model | None, columns: str, out) -> DataFrame:
