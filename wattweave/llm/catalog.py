@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from wattweave.llm import chat_format, exact_dedup, language_id, license_scan, mixing, quality_rules
+from wattweave.llm import (chat_format, exact_dedup, filter_audit, language_id, license_scan, mixing, quality_rules,
+                           topk_search)
 from wattweave.llm.chosen_path import similar_texts
 from wattweave.llm.common import documents
 from wattweave.llm.suffix_dedup import suffix_dedup
@@ -72,3 +73,13 @@ def op5(spark, folder):
 @query("op7_license_scan", license_scan.ORACLE)
 def op7(spark, folder):
     return license_scan.document_licenses(documents(spark, folder))
+
+
+@query("op11_topk_search", topk_search.ORACLE)
+def op11(spark, folder):
+    return topk_search.nearest_rows(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+@query("op13_filter_audit", filter_audit.ORACLE)
+def op13(spark, folder):
+    return filter_audit.document_audit(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
