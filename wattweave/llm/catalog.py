@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from wattweave.llm import (chat_format, exact_dedup, filter_audit, language_id, license_scan, mixing, quality_rules,
+from wattweave.llm import (chat_format, collocations, exact_dedup, filter_audit, language_id, license_scan, mixing, quality_rules,
                            topk_search)
 from wattweave.llm.chosen_path import similar_texts
 from wattweave.llm.common import documents
@@ -83,3 +83,8 @@ def op11(spark, folder):
 @query("op13_filter_audit", filter_audit.ORACLE)
 def op13(spark, folder):
     return filter_audit.document_audit(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+@query("op12_collocations", collocations.ORACLE)
+def op12(spark, folder):
+    return collocations.collocations(documents(spark, folder))
