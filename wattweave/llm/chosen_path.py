@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattweave.llm.common import id_and_text, join_counted, stored
+from wattweave.llm.common import id_and_text, join_counted, stored, task
 from wattweave.llm.graphs import components
 from wattweave.llm.homes import COUNT, Homes
 
@@ -258,7 +258,7 @@ def similar_texts(docs: DataFrame, least: float = LEAST, recall: float = RECALL,
             paths = first_paths(t, salts, 1 / least)
             yield place, doc_id, sig, len(t), sketch_of(t), paths.view(np.int64).tolist(), name
 
-    described = home.rdd.mapPartitionsWithIndex(lambda part, rows: numbered(part, rows, describe))
+    described = home.rdd.mapPartitionsWithIndex(task(lambda part, rows: numbered(part, rows, describe)))
     points = stored(spark.createDataFrame(described, POINTS, verifySchema=False), "points")
     if points.count() != total:
         raise RuntimeError("the input has other rows than when it was counted; store it and run again")
@@ -299,7 +299,7 @@ def similar_texts(docs: DataFrame, least: float = LEAST, recall: float = RECALL,
         buckets = buckets.unionAll(more.select("path", "place", "members"))
     dealt = in_blocks(buckets, "path", limit).select("k", "half", "place").join(reps.select("place", "n", "sketch"), "place")
     dealt = dealt.repartition("k").sortWithinPartitions("k").select("k", "half", "place", "n", "sketch")
-    edges = stored(dealt.mapInArrow(lambda b: sketch_edges(b, least), "a long, b long").distinct(), "plausible")
+    edges = stored(dealt.mapInArrow(task(lambda b: sketch_edges(b, least)), "a long, b long").distinct(), "plausible")
 
     family = components(edges)
     sizes = family.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
@@ -313,7 +313,7 @@ def similar_texts(docs: DataFrame, least: float = LEAST, recall: float = RECALL,
 
     told = spark.createDataFrame(at_home(home, points, sent, tell), "k long, half int, place long, tokens binary", verifySchema=False)
     told = told.repartition("k").sortWithinPartitions("k")
-    linked = stored(told.mapInArrow(lambda b: exact_links(b, least), "place long, links long, root long"), "links")
+    linked = stored(told.mapInArrow(task(lambda b: exact_links(b, least)), "place long, links long, root long"), "links")
 
     counted = linked.groupBy("place").agg(F.sum("links").alias("n_links"))
     joined = components(stored(linked.where("root <> place").select(F.col("root").alias("a"), F.col("place").alias("b")).distinct(), "stars"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +26,14 @@ def id_and_text(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or the name with more underscores, so that no column of the frame has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
@@ -66,6 +78,41 @@ def with_row_id(docs: DataFrame) -> DataFrame:
         return stored(docs, "rows").withColumn(ROW, F.concat_ws("#", "_metadata.file_path", "_metadata.row_index"))
 
 
+#: What a worker process holds for later tasks of one kind: the functions that let it go, by kind.
+HELD: dict[str, Callable[[], None]] = {}
+_last = [None]
+
+
+def free_memory() -> None:
+    """Give freed memory back to the system: a worker process lives on for the tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call
+        pass
+
+
+def task(run: Callable[..., Iterator], kind: str = "") -> Callable[..., Iterator]:
+    """`run` as a task of a kind: vocabularies and memos of other kinds that this worker process still holds are let go
+    before it, and freed memory after it."""
+
+    def wrapped(*args):
+        from wattweave.llm import common
+
+        if common._last[0] != kind:
+            common._last[0] = kind
+            for other, let_go in common.HELD.items():
+                if other != kind:
+                    let_go()
+            common.free_memory()
+        try:
+            yield from run(*args)
+        finally:
+            common.free_memory()
+
+    return wrapped
+
+
 class Memo:
     """Values by key in two generations: what was not asked for during a whole generation is forgotten."""
 

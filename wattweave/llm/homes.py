@@ -12,8 +12,11 @@ import numpy as np
 from pyspark import RDD
 from pyspark.sql import DataFrame
 
+from wattweave.llm.common import task
+
 CHUNK_BYTES = 2_000_000
 CHUNK_ROWS = 4_096
+WORKER_MB = 256
 COUNT = -1
 
 
@@ -36,7 +39,7 @@ class Homes:
                 n += len(rows_of_chunk)
             yield part % owners, (part, COUNT, n)
 
-        return self.rdd.mapPartitionsWithIndex(run)
+        return self.rdd.mapPartitionsWithIndex(task(run))
 
     def receive(self, answers: RDD, work: Callable[[int, int, list, list], Iterator]) -> RDD:
         """Zip answers ((partition, row), value) with the rows: work(partition, row of the chunk's start, rows, values)
@@ -76,11 +79,19 @@ class Homes:
                 yield from work(part, n, rows_of_chunk, got)
                 n += len(rows_of_chunk)
 
-        dealt = answers.repartitionAndSortWithinPartitions(self.parts, lambda place: place[0]).mapPartitions(in_line)
+        dealt = modest(answers).repartitionAndSortWithinPartitions(self.parts, lambda place: place[0]).mapPartitions(task(in_line))
         rows, extra = self.rdd, dealt.getNumPartitions() - self.parts
         if extra:
             rows = rows.union(rows.context.parallelize([], extra))
-        return rows.zip(dealt).mapPartitionsWithIndex(run)
+        return rows.zip(dealt).mapPartitionsWithIndex(task(run))
+
+
+def modest(rdd: RDD) -> RDD:
+    """The rows to be dealt out, of which a worker keeps at most WORKER_MB megabytes before it writes or spills them. By
+    itself a worker keeps as much as spark.python.worker.memory says, and there is one to each core."""
+    most = min(WORKER_MB, rdd._memory_limit())
+    rdd._memory_limit = lambda: most
+    return rdd
 
 
 def chunks(rows, size, most) -> Iterator[list]:
@@ -181,7 +192,7 @@ def found_twice(messages: RDD, owners: int, bits: int, hot: tuple[int, int] | No
                 answer = (owner, place, len(v), flags(twice[own]))
                 yield place[:2], (*answer, flags(often[own])) if hot else answer
 
-    return messages.partitionBy(owners, lambda owner: owner).mapPartitions(decide)
+    return modest(messages).partitionBy(owners, lambda owner: owner).mapPartitions(task(decide))
 
 
 def answered(values: np.ndarray, answers: list[tuple], bits: int, owner_bits: int, which: int = 3) -> np.ndarray:

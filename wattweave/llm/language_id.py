@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattweave.llm.common import free_name, task
+
 ORDERS = (1, 2, 3, 4)
 BINS = 4_096
 LANDMARKS = 256
@@ -136,7 +138,7 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([features(t) for t in b.column("text").to_pylist()], pa.binary())],
                                              names=["lang", "bits"])
 
-    rows = training_rows(docs, most).mapInArrow(bits, "lang string, bits binary").collect()
+    rows = training_rows(docs, most).mapInArrow(task(bits), "lang string, bits binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r[0], bytes(r[1])))
@@ -157,10 +159,12 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -
 def predict(docs: DataFrame, model: Model | None, columns: str, out) -> DataFrame:
     """mapInArrow over batches; out(batch, languages, scores) gives the arrays of `columns`. No shuffle."""
 
+    whole, lettered = free_name(docs, "__text"), free_name(docs, "__letters")
+
     def run(batches):
         for b in batches:
             found, scores = [], []
-            texts, letters = b.column("__text").to_pylist(), b.column("__letters").to_pylist()
+            texts, letters = b.column(whole).to_pylist(), b.column(lettered).to_pylist()
             for i in range(0, len(texts), 256):
                 some = texts[i : i + 256]
                 lang, score = model.score(some) if model else ([UNKNOWN] * len(some), np.zeros(len(some)))
@@ -171,7 +175,7 @@ def predict(docs: DataFrame, model: Model | None, columns: str, out) -> DataFram
             yield out(b, found, scores)
 
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({"__text": text, "__letters": text.rlike(r"\p{L}")}).mapInArrow(run, columns)
+    return docs.withColumns({whole: text, lettered: text.rlike(r"\p{L}")}).mapInArrow(task(run), columns)
 
 
 def identify(docs: DataFrame, most: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> DataFrame:

@@ -10,7 +10,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wattweave.llm.common import Memo, id_and_text, slices
+from wattweave.llm.common import HELD, Memo, id_and_text, slices, task
 
 SPACE = "▁"
 ROOM = 400_000
@@ -161,6 +161,9 @@ def vocabulary(path: str) -> MergeVocabulary:
     return MergeVocabulary(path)
 
 
+HELD["pieces"] = vocabulary.cache_clear
+
+
 def encode_ids(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, ids, decoded: the real ids and the text decoded from them. Rows and nulls as in piece_digests()."""
 
@@ -172,7 +175,7 @@ def encode_ids(docs: DataFrame, model: str) -> DataFrame:
                 [b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([v.decode(x) for x in ids], pa.string())],
                 names=["doc_id", "ids", "decoded"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return id_and_text(docs).mapInArrow(task(run, "pieces"), "doc_id long, ids array<int>, decoded string")
 
 
 def piece_digests(docs: DataFrame, model: str) -> DataFrame:
@@ -192,4 +195,4 @@ def piece_digests(docs: DataFrame, model: str) -> DataFrame:
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return id_and_text(docs).mapInArrow(run, OUT)
+    return id_and_text(docs).mapInArrow(task(run, "pieces"), OUT)

@@ -10,8 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattweave.llm.common import id_and_text, stored
-from wattweave.llm.homes import COUNT, Homes, answered, found_twice, to_owners
+from wattweave.llm.common import id_and_text, stored, task
+from wattweave.llm.homes import COUNT, Homes, answered, found_twice, modest, to_owners
 
 #: The multipliers of the rolling hashes, odd and without structure.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -327,8 +327,8 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, hot: tuple[int, int] = HOT, p
 
     first = found_twice(home.send(send, owners), owners, BITS, hot).mapPartitions(by_sub)
     first = stored(spark.createDataFrame(first.mapPartitions(coded(1)), ANSWERS, verifySchema=False), "first-digits")
-    runs = home.receive(answers_of(first, False), second).partitionBy(owners, lambda owner: owner)
-    found = runs.mapPartitions(lambda got: compare((m for _, m in got), depth))
+    runs = modest(home.receive(answers_of(first, False), second)).partitionBy(owners, lambda owner: owner)
+    found = runs.mapPartitions(task(lambda got: compare((m for _, m in got), depth)))
     found = stored(spark.createDataFrame(found.mapPartitions(coded(2)), ANSWERS, verifySchema=False), "shared-windows")
     settled = home.receive(answers_of(first.unionAll(found), True), last)
     return spark.createDataFrame(settled, OUT, verifySchema=False)

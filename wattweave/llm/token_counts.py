@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattweave.llm.common import Memo, id_and_text, join_counted, slices, stored
+from wattweave.llm.common import HELD, Memo, id_and_text, join_counted, slices, stored, task
 from wattweave.sources.shared import new_path
 
 CACHE = T.StructType([T.StructField("tokenizer", T.StringType()), T.StructField("digest", T.BinaryType()),
@@ -72,6 +72,9 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
+HELD["tokens"] = counter.cache_clear
+
+
 def tokenizer_version(path: str) -> str:
     with open(path, "rb") as f:
         return hashlib.sha256(f.read()).hexdigest()
@@ -104,7 +107,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
                 names=["tokenizer", "digest", "n_tokens"])
 
     misses = texts.groupBy("digest").agg(F.first("text").alias("text")).join(held(), "digest", "left_anti")
-    misses.select("digest", "text").mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
+    misses.select("digest", "text").mapInArrow(task(encode, "tokens"), CACHE).write.mode("append").parquet(cache)
 
     copies = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
     known = held().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
