@@ -26,6 +26,14 @@ def id_and_text(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows where the session leaves them at Spark's 10,000: a batch of texts then takes a few
+    megabytes on both sides of a Python worker and not some tens."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting, "10000") == "10000":
+        spark.conf.set(setting, "1000")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, or the name with more underscores, so that no column of the frame has it."""
     taken = {c.lower() for c in df.columns}

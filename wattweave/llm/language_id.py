@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattweave.llm.common import free_name, task
+from wattweave.llm.common import free_name, small_batches, task
 
 ORDERS = (1, 2, 3, 4)
 BINS = 4_096
@@ -174,6 +174,7 @@ def predict(docs: DataFrame, model: Model | None, columns: str, out) -> DataFram
             scores = [x if has else 0.0 for x, has in zip(scores, letters)]
             yield out(b, found, scores)
 
+    small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     return docs.withColumns({whole: text, lettered: text.rlike(r"\p{L}")}).mapInArrow(task(run), columns)
 

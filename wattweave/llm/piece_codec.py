@@ -10,10 +10,10 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wattweave.llm.common import HELD, Memo, id_and_text, slices, task
+from wattweave.llm.common import HELD, Memo, id_and_text, slices, small_batches, task
 
 SPACE = "▁"
-ROOM = 400_000
+ROOM = 250_000
 SHORT = 32
 NONE = float("-inf")
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -195,4 +195,5 @@ def piece_digests(docs: DataFrame, model: str) -> DataFrame:
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     return id_and_text(docs).mapInArrow(task(run, "pieces"), OUT)
