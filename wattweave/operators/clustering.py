@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattweave.functions.dates import week_anchor
 from wattweave.functions.stats import mean_of_parts, mean_parts
 from wattweave.functions.vectors import is_complete, row_zscore
+from wattweave.operators.blocks import collected_sums, to_blocks
+from wattweave.operators.knn import matrix, squared_gaps
 from wattweave.operators.projections import with_day_hour
-from wattweave.sources.shared import materialise
 
 
 def scaled_rows(df: DataFrame, features: str = "features") -> DataFrame:
@@ -21,36 +23,82 @@ def scaled_rows(df: DataFrame, features: str = "features") -> DataFrame:
     return scaled.where(is_complete(features))
 
 
-def fit_kmeans(df: DataFrame, k: int, restarts: int = 10, seed: int = 1, features: str = "features") -> KMeansModel:
-    """Best of several k-means runs by within-cluster sum of squares."""
-    vectors = materialise(df.select(array_to_vector(features).alias("vector")))
-    return _best_run(vectors, k, restarts, seed)
-
+def start_rows(df: DataFrame, n: int, seed: int, features: str) -> np.ndarray:
+    """Up to n distinct rows, chosen by a hash; n does not grow with the data."""
+    distinct = df.groupBy(features).agg(F.lit(1).alias("one")).select(features, F.xxhash64(features, F.lit(seed)).alias("at"))
+    return np.array([r[0] for r in distinct.orderBy("at", features).limit(n).collect()], float)
 
-def _best_run(vectors: DataFrame, k: int, restarts: int, seed: int) -> KMeansModel:
-    runs = [KMeans(featuresCol="vector", k=k, seed=seed + i).fit(vectors) for i in range(restarts)]
-    return min(runs, key=lambda m: m.summary.trainingCost)
 
+def lloyd(df: DataFrame, ks: list[int], restarts: int = 10, seed: int = 1, iterations: int = 100,
+          features: str = "features") -> dict[int, tuple[float, np.ndarray]]:
+    """Per number of clusters, the least within-cluster sum of squares of all restarts and its centres.
 
-def kmeans_clusters(df: DataFrame, key: str, model: KMeansModel, features: str = "features") -> DataFrame:
-    """(key, cluster 1 … k)."""
-    placed = model.transform(df.select(key, array_to_vector(features).alias("vector")))
-    return placed.select(key, (F.col("prediction") + 1).alias("cluster"))
+    All models, each k with each restart, move together: one scan of the packed rows an iteration sums the rows of every
+    centre of every model, until none moves or `iterations` are done. The first centres are rows chosen by hash, others
+    for each restart; with fewer distinct rows than k there are as many centres as rows. A centre without rows stays.
+    """
+    blocks = to_blocks(df, features)
+    rows = start_rows(df, max(ks) * restarts, seed, features)
+    if not len(rows):
+        return {}
+    models = [(k, r) for k in ks for r in range(restarts)]
+    centres = {i: rows[[(r * max(ks) + j) % len(rows) for j in range(min(k, len(rows)))]] for i, (k, r) in enumerate(models)}
+    moving = set(centres)
+    p = rows.shape[1]
+
+    def gathered(x, y, fold):
+        for i in sorted(moving):
+            gaps = squared_gaps(x, centres[i])
+            own = gaps.argmin(1)
+            member = np.eye(len(centres[i]))[own]
+            yield i, np.column_stack([member.T @ x, member.sum(0), member.T @ gaps[np.arange(len(x)), own]]).ravel()
+
+    for _ in range(iterations):
+        found = collected_sums(blocks, gathered)
+        for i in sorted(moving):
+            sums = found[i].reshape(-1, p + 2)
+            filled = sums[:, p] > 0
+            new = np.where(filled[:, None], sums[:, :p] / np.maximum(sums[:, p : p + 1], 1), centres[i])
+            if np.abs(new - centres[i]).max() < 1e-9:
+                moving.discard(i)
+            centres[i] = new
+        if not moving:
+            break
+
+    def cost(x, y, fold):
+        for i, c in centres.items():
+            yield i, np.array([((x - c[squared_gaps(x, c).argmin(1)]) ** 2).sum()])
+
+    costs = collected_sums(blocks, cost)
+    best = {}
+    for i, (k, _) in enumerate(models):
+        if k not in best or costs[i][0] < best[k][0]:
+            best[k] = float(costs[i][0]), centres[i]
+    return best
+
+
+def fit_kmeans(df: DataFrame, k: int, restarts: int = 10, seed: int = 1, features: str = "features") -> np.ndarray:
+    """Centres of the best of several k-means runs by within-cluster sum of squares."""
+    return lloyd(df, [k], restarts, seed, features=features)[k][1]
+
+
+def kmeans_clusters(df: DataFrame, key: str, centres: np.ndarray, features: str = "features") -> DataFrame:
+    """(key, cluster 1 … k): the nearest centre, the first of equals."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = squared_gaps(matrix(b.column(features)), centres).argmin(1) + 1 if b.num_rows else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(own.astype(np.int32))], names=[key, "cluster"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, features).mapInArrow(place, f"`{key}` {kind}, cluster int")
 
 
 def elbow_curve(df: DataFrame, ks: range = range(1, 11), restarts: int = 10, seed: int = 1,
                 features: str = "features") -> DataFrame:
     """Total within-cluster sum of squares per number of clusters: (k, total_wss)."""
-    vectors = materialise(df.select(array_to_vector(features).alias("vector")))
-    costs = []
-    for k in ks:
-        if k == 1:
-            s = vectors.select(Summarizer.metrics("variance", "count").summary(F.col("vector")).alias("s")).first()["s"]
-            cost = float(sum(s["variance"]) * (s["count"] - 1))
-        else:
-            cost = float(_best_run(vectors, k, restarts, seed).summary.trainingCost)
-        costs.append((k, cost))
-    return df.sparkSession.createDataFrame(costs, "k int, total_wss double")
+    best = lloyd(df, list(ks), restarts, seed, features=features)
+    return df.sparkSession.createDataFrame([(k, best[k][0]) for k in ks if k in best], "k int, total_wss double")
 
 
 def cluster_usage_curve(readings: DataFrame, buildings: DataFrame, clusters: DataFrame) -> DataFrame:
