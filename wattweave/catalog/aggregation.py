@@ -9,7 +9,9 @@ from wattweave.catalog.relational import FENCES
 from wattweave.functions.dates import week_slots
 from wattweave.functions.labels import time_of_day
 from wattweave.operators import aggregates, filters, order_stats, projections, reshape
+from wattweave.plans import store
 from wattweave.sources.schemas import WEATHER_MEASURES
+from wattweave.sources.shared import new_path
 
 MEAN = q6(strict("meter_reading"))
 
@@ -75,6 +77,21 @@ def weekly_profile(w):
                           r6("sd_meter_reading").alias("sd_meter_reading"))
 
 
+@query("a03_stored_profile", f"""
+SELECT building_id, CAST(day AS BIGINT) AS day, CAST(hour AS BIGINT) AS hour, {MEAN} AS avg_meter_reading,
+       {q6('stddev_samp(meter_reading)')} AS sd_meter_reading
+FROM readings WHERE meter = 0 GROUP BY 1, 2, 3
+""")
+def profile_of_store(w):
+    """The store is written for the first weeks and updated with the others, each read once."""
+    path, later = new_path(w.spark, "profile-store"), F.col("timestamp") >= F.lit("2024-01-15").cast("timestamp_ntz")
+    store.update_store(w.readings.where(~later), path, "week")
+    store.update_store(w.readings.where(later), path, "week")
+    profile = store.stored_profile(store.read_store(w.spark, path), 0)
+    return profile.select("building_id", big("day").alias("day"), big("hour").alias("hour"),
+                          r6("avg_meter_reading").alias("avg_meter_reading"), r6("sd_meter_reading").alias("sd_meter_reading"))
+
+
 @query("a04_usage_curve", f"""
 SELECT CAST(meter AS BIGINT) AS meter, primary_use, {qstamp('make_timestamp(2020, 11, day, hour, 0, 0)')} AS date,
        {MEAN} AS avg_meter_reading
@@ -281,7 +298,7 @@ def shown_wide(df):
 
 @query("r01_widen", CELLS + f"SELECT building_id, {wide_columns('a', '')} FROM cells GROUP BY 1")
 def widen(w):
-    return shown_wide(reshape.widen(slots_of(w, False), "building_id", "slot", ["avg_meter_reading"]))
+    return shown_wide(reshape.widen_weekly(aggregates.weekly_profile(electricity(w), False), ["avg_meter_reading"]))
 
 
 @query("r02_widen_two_values", CELLS + f"""
@@ -290,7 +307,7 @@ FROM cells GROUP BY 1
 """)
 def widen_two_values(w):
     values = ["avg_meter_reading", "sd_meter_reading"]
-    return shown_wide(reshape.widen(slots_of(w, True), "building_id", "slot", values, infix="electric_"))
+    return shown_wide(reshape.widen_weekly(aggregates.weekly_profile(electricity(w), True), values, infix="electric_"))
 
 
 @query("r03_lengthen", f"""

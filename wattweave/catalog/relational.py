@@ -198,6 +198,20 @@ def weather(w):
                        big("site_id").alias("site_id"), *[r6(m).alias(m) for m in WEATHER_MEASURES])
 
 
+@query("j02_weather_bucketed", f"""
+SELECT r.building_id, {qstamp('r."timestamp"')} AS ts, {q6('r.meter_reading')} AS meter_reading,
+       CAST(b.site_id AS BIGINT) AS site_id, {', '.join(f'{q6("w." + m)} AS {m}' for m in WEATHER_MEASURES)}
+FROM readings r LEFT JOIN buildings b ON b.building_id = r.building_id
+LEFT JOIN weather w ON w.site_id = b.site_id AND w."timestamp" = date_trunc('hour', r."timestamp")
+""")
+def weather_bucketed(w):
+    """Readings and weather are laid out once by site and hour; the join then moves no rows."""
+    readings = with_buildings(w.readings, w.buildings.select("building_id", "site_id"))
+    rows = joins.with_stored_weather(*joins.store_by_site_hour(readings, w.weather))
+    return rows.select("building_id", stamp("timestamp").alias("ts"), r6("meter_reading").alias("meter_reading"),
+                       big("site_id").alias("site_id"), *[r6(m).alias(m) for m in WEATHER_MEASURES])
+
+
 @query("j03_profile_buildings", f"""
 , tod AS (SELECT building_id, CASE WHEN hour BETWEEN 5 AND 11 THEN 'Morning' WHEN hour BETWEEN 12 AND 16 THEN 'Afternoon'
                  WHEN hour BETWEEN 17 AND 20 THEN 'Evening' ELSE 'Night' END AS slot, meter_reading

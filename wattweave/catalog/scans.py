@@ -34,6 +34,30 @@ def csv_scan(w):
                        *[r6(m).alias(m) for m in WEATHER_MEASURES])
 
 
+SPOILT = "site_id % 4 = 1 AND wind_speed > 50"
+
+
+def spoilt_csv(w):
+    """The weather as CSV, with text in a numeric field of some rows."""
+    path = new_path(w.spark, "spoilt-weather-csv")
+    tables.write_csv(w.weather.withColumn("wind_speed", F.when(F.expr(SPOILT), F.lit("calm")).otherwise(F.col("wind_speed").cast("string"))), path)
+    return tables.read_csv_checked(w.spark, path, WEATHER)
+
+
+@query("s01_csv_checked", WEATHER_SQL + f"WHERE NOT ({SPOILT})")
+def csv_checked(w):
+    return spoilt_csv(w).rows.select(big("site_id").alias("site_id"), stamp("timestamp").alias("ts"), *[r6(m).alias(m) for m in WEATHER_MEASURES])
+
+
+@query("s01_csv_rejects", f"""
+SELECT CAST(site_id AS BIGINT) AS site_id, 'wind_speed' AS "columns", 'calm' AS field, count(*) AS n FROM weather WHERE {SPOILT} GROUP BY 1
+""")
+def csv_rejects(w):
+    rows = spoilt_csv(w).rejects.select(F.col("fields")["site_id"].cast("long").alias("site_id"), F.array_join("columns", ",").alias("columns"),
+                                        F.col("fields")["wind_speed"].alias("field"))
+    return rows.groupBy("site_id", "columns", "field").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s02_csv_text_timestamp", READINGS_SQL)
 def csv_text_timestamp(w):
     path = new_path(w.spark, "readings-csv")

@@ -62,4 +62,5 @@ def fill_by_mode(df: DataFrame, column: str) -> DataFrame:
 
 def fill_weather(weather: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Smooth six measures per site and fill precipitation with its mode."""
-    return fill_by_mode(fill_by_smoothing(weather, SMOOTHED, chunk_rows=chunk_rows), "precip_depth_1_hr")
+    precipitation = fill_by_mode(weather, "precip_depth_1_hr")  # not smoothed, so its mode is that of the raw weather
+    return fill_by_smoothing(precipitation, SMOOTHED, chunk_rows=chunk_rows)

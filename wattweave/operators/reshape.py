@@ -28,6 +28,41 @@ def widen(long: DataFrame, id_column: str, name_column: str, values: list[str],
     return wide.select(id_column, *[F.col(f"`{n}_{v}`").alias(f"{v}_{infix}{n}") for v in values for n in names])
 
 
+def slot_number(day, hour) -> Column:
+    """Place of a (weekday, hour) cell in the week: 0 … 167."""
+    day, hour = (F.col(c) if isinstance(c, str) else c for c in (day, hour))
+    return (day - 1) * 24 + hour
+
+
+def to_dense(long: DataFrame, id_column: str, slot_column: str, values: list[str], size: int, into: str = "features") -> DataFrame:
+    """One row per id with the `size` slots of the first value, then of the next, in one array; null where absent.
+
+    Slots are integers: an id's cells are put in order and laid out in one pass, the gaps filled as they are met. A slot
+    outside 0 … size - 1 is left out, as is an id without any other. (id, slot) is unique in a profile.
+    """
+    slot = F.col(slot_column).cast("int")
+    cells = F.array_sort(F.collect_list(F.struct(slot.alias("slot"), *[F.col(v).cast("double").alias(v) for v in values])))
+    grouped = long.where(slot.between(0, size - 1)).groupBy(id_column).agg(cells.alias("cells"))
+    nothing = F.lit(None).cast("double")
+
+    def laid_out(value: str) -> Column:
+        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<double>").alias("row"))
+        filled = F.aggregate("cells", start, lambda acc, c: F.struct(
+            (c["slot"] + 1).alias("next"), F.concat(acc["row"], F.array_repeat(nothing, c["slot"] - acc["next"]), F.array(c[value])).alias("row")),
+            lambda acc: F.concat(acc["row"], F.array_repeat(nothing, F.lit(size) - acc["next"])))
+        return filled
+
+    return grouped.select(id_column, F.concat(*[laid_out(v) for v in values]).alias(into))
+
+
+def widen_weekly(profile: DataFrame, values: list[str], infix: str = "", id_column: str = "building_id") -> DataFrame:
+    """The weekly profile (id, day, hour, values) in 168 columns a value, named as by widen(); slots go by number."""
+    names = week_slots()
+    dense = to_dense(profile.withColumn("slot", slot_number("day", "hour")), id_column, "slot", values, len(names))
+    labels = [f"{v}_{infix}{n}" for v in values for n in names] if infix or len(values) > 1 else names
+    return dense.select(id_column, *[F.get("features", F.lit(i)).alias(label) for i, label in enumerate(labels)])
+
+
 def to_array(long: DataFrame, id_column: str, name_column: str, values: list[str],
              names: list[str] | None = None, into: str = "features") -> DataFrame:
     """One row per id with all slots of all values in one array; null where a slot is absent.

@@ -8,38 +8,33 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattweave.functions.dates import ANCHOR_MONTH, ANCHOR_YEAR, hour_of, week_slots, weekday
+from wattweave.functions.dates import hour_of, week_slots, weekday
 from wattweave.functions.labels import collapse_uses, time_of_day
 from wattweave.functions.vectors import is_complete, row_zscore
 from wattweave.operators.aggregates import slot_profile
 from wattweave.operators.filters import ELECTRICITY, of_meter
-from wattweave.operators.reshape import to_array
+from wattweave.operators.reshape import slot_number, to_dense
 
 
 @dataclass(frozen=True)
 class Slots:
-    """A way to name the time slot of a reading, and the full list of names."""
+    """The number of a reading's time slot, from 0, and the names of all slots."""
 
-    name: Callable[[], Column]
+    number: Callable[[], Column]
     names: list[str]
 
 
-def _weekly() -> Column:
-    anchor = F.make_timestamp_ntz(F.lit(ANCHOR_YEAR), F.lit(ANCHOR_MONTH), weekday("timestamp"), hour_of("timestamp"),
-                                  F.lit(0), F.lit(0))
-    return F.date_format(anchor, "yyyy-MM-dd HH:mm:ss")
-
-
-WEEKLY = Slots(_weekly, week_slots())
-TIME_OF_DAY = Slots(lambda: time_of_day(hour_of("timestamp")), ["Morning", "Afternoon", "Evening", "Night"])
+PARTS_OF_DAY = ["Morning", "Afternoon", "Evening", "Night"]
+WEEKLY = Slots(lambda: slot_number(weekday("timestamp"), hour_of("timestamp")), week_slots())
+TIME_OF_DAY = Slots(lambda: F.array_position(F.array(*map(F.lit, PARTS_OF_DAY)), time_of_day(hour_of("timestamp"))).cast("int") - 1, PARTS_OF_DAY)
 
 
 def building_slots(readings: DataFrame, slots: Slots = WEEKLY, with_sd: bool = True,
                    meter: int = ELECTRICITY) -> DataFrame:
     """(building_id, features): all slot means, then all slot deviations."""
-    profile = slot_profile(of_meter(readings, meter), slots.name())
+    profile = slot_profile(of_meter(readings, meter), slots.number())
     values = ["avg_meter_reading", "sd_meter_reading"] if with_sd else ["avg_meter_reading"]
-    return to_array(profile, "building_id", "slot", values, slots.names)
+    return to_dense(profile, "building_id", "slot", values, len(slots.names))
 
 
 def feature_frame(slot_rows: DataFrame, buildings: DataFrame, scale_rows: bool = False, attributes: bool = True,

@@ -27,17 +27,70 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+class Job:
+    """Intermediate tables and checkpoints made inside ``with Job(spark) as job`` are listed; when the block ends well
+    they are removed, when it fails they stay for a look. Results must be written by then: see ``job.write``."""
+
+    active: list[Job] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Job:
+        Job.active.append(self)
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        Job.active.remove(self)
+        if kind is None:
+            for path in self.paths:
+                remove(self.spark, path)
+
+    def write(self, df: DataFrame, path: str) -> None:
+        """Write the rows beside the path and put them in its place when all are there: a reader sees the old table or
+        the new one. The name is changed by the file system; in an object store that is a copy."""
+        staged = f"{path}.staged-{uuid.uuid4().hex}"
+        df.write.parquet(staged)
+        files, (old, new) = file_system(self.spark, path), (java_path(self.spark, p) for p in (path, staged))
+        files.delete(old, True)
+        if not files.rename(new, old):
+            raise OSError(f"{staged} could not be renamed to {path}")
+
+
+def java_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    return java_path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    file_system(spark, path).delete(java_path(spark, path), True)
+
+
+def listed(path: str) -> str:
+    for job in Job.active[-1:]:
+        job.paths.append(path)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and cut the lineage; survives the loss of executors."""
     context = df.sparkSession.sparkContext
     folder = shared_folder(df.sparkSession)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if Job.active:
+        written = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if written.isDefined():
+            listed(written.get())
+    return out
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return listed(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
 
 
 def ship_package(spark: SparkSession) -> None:
