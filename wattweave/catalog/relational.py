@@ -224,12 +224,10 @@ SELECT w.building_id, {', '.join(f'{q6(f"s{i}")} AS "{s}"' for i, s in enumerate
 FROM wide w LEFT JOIN buildings b ON b.building_id = w.building_id
 """)
 def profile_buildings(w):
-    from wattweave.operators.aggregates import slot_profile
-    from wattweave.operators.reshape import widen
-    from wattweave.plans.profiles import TIME_OF_DAY
+    from wattweave.plans.profiles import TIME_OF_DAY, building_slots
 
-    profile = slot_profile(filters.of_meter(w.readings, 0), TIME_OF_DAY.name())
-    wide = widen(profile, "building_id", "slot", ["avg_meter_reading"], TIME_OF_DAY.names)
+    slots = building_slots(w.readings, TIME_OF_DAY, with_sd=False)
+    wide = slots.select("building_id", *[F.get("features", F.lit(i)).alias(s) for i, s in enumerate(TIME_OF_DAY.names)])
     rows = joins.with_buildings(wide, w.buildings)
     return rows.select("building_id", *[r6(s).alias(s) for s in TIME_OF_DAY.names], "primary_use", "square_feet")
 
