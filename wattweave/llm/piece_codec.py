@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from wattweave.llm.common import HELD, Memo, id_and_text, slices, small_batches, task
 
 SPACE = "▁"
-ROOM = 250_000
+ROOM = 400_000
 SHORT = 32
 NONE = float("-inf")
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
