@@ -413,3 +413,9 @@ def test_memo_is_bounded_and_keeps_what_is_used():
         known = memo.lookup({0, i}, lambda keys: asked.extend(keys) or [k * 2 for k in keys])
         assert known[0] == 0 and known[i] == 2 * i
     assert asked.count(0) == 1 and len(memo.new) + len(memo.old) <= 24
+
+
+@pytest.mark.parametrize("depth", [7, 121, 200])
+def test_depths_that_records_cannot_hold_are_refused(docs, depth):
+    with pytest.raises(ValueError):
+        suffix_dedup(docs, depth)

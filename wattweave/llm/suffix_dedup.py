@@ -232,10 +232,13 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, hot: tuple[int, int] = HOT, p
     passes: the first digit of all windows, Golomb-coded, finds which are repeated; the bytes of repeated runs, one copy
     a chunk, go to the owner of their digit, who sorts the windows by the rest of their bytes; the ids come back to the
     rows, where the covered bytes are cut. A digit that is in unlike runs in hot[0] chunks, or is in hot[1] chunks, is
-    dealt by whole windows, so no owner has all contexts of a common passage. Windows are compared by 116 bits of hash. Texts are read three times and never
-    shuffled. Null text: empty. Null doc_id: larger than any, and equal ids remove nothing from each other. Texts
+    dealt by whole windows, so no owner has all contexts of a common passage. Windows are compared by a
+    64-bit hash that joins the digit and all their bytes. `depth` is 8 to 120, as records keep places in a byte. Texts are
+    read three times and never shuffled. Null text: empty. Null doc_id: larger than any, and equal ids remove nothing from each other. Texts
     shorter than `depth` keep all. Repeated rows stay, a row each. Empty table: no rows. Other columns are not read.
     """
+    if not 8 <= depth <= 120:
+        raise ValueError("depth must be 8 to 120")
     spark = docs.sparkSession
     texts = id_and_text(docs)
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
