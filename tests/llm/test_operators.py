@@ -399,6 +399,40 @@ def test_licence_headers_of_null_and_repeated_ids(spark):
         (3, None, None, "none", None)], key=repr)
 
 
+def test_usual_forms_of_licences_are_found(spark):
+    mit_text = """// Copyright (c) 2001 Someone
+//
+// Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+// documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+// rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+// persons to whom the Software is furnished to do so, subject to the following conditions:
+"""
+    forms = [
+        ("All rights reserved.", "Proprietary"), ("MIT License", "MIT"), ("Apache License", "Apache-2.0"), ("GNU GENERAL PUBLIC LICENSE", "GPL-3.0"),
+        ("# SPDX-License-Identifier: MIT", "MIT"), (mit_text, "MIT"), ("Licensed under the MIT license", "MIT"),
+        ("This project is released under the MIT License.", "MIT"), ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"),
+        ("GNU Lesser General Public License, version 3", "LGPL-3.0"),
+        # no licence is named: prose on licences, a driving licence, an unknown name
+        ("He has a licence to drive and a copy of it.", None), ("license", None), ("Copyright 2020 the authors", None),
+        ("SPDX-License-Identifier: Own-1.0", None), ("plain words", None), ("the public domain is not discussed in this book about software", None)]
+    rows = [(i, f"d{i}/x.txt", f"words before\n{text}\nand after") for i, (text, _) in enumerate(forms)]
+    df = spark.createDataFrame(rows, "file long, path string, text string")
+    got = {r.file: r.license for r in license_scan.scan_licenses(df).collect()}
+    assert {forms[i][0]: k for i, k in got.items()} == dict(forms)
+
+
+def test_licence_files_are_compared_whole_and_hot_roots_are_split(spark):
+    whole = "Permission is hereby granted, free of charge,\nto any person obtaining\na copy"
+    rows = [(0, "LICENSE", whole), (1, "a/b.txt", whole + " " + "word " * 60_000)] + [(i, f"d{i}/x.txt", None) for i in range(2, 3_000)]
+    df = spark.createDataFrame(rows, "file long, path string, text string").withColumn("units", F.lit(1)).withColumn("up", F.lit("x"))
+    got = license_scan.scan_licenses(df, least=0.95).groupBy("license", "found", "from_dir").count().collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([("MIT", "header", None, 1), ("MIT", "directory", "", 2_999)], key=repr)
+    named = license_scan.scan_licenses(df.limit(1), {"It's": ["free of charge to any person"], "none": []}, 0.3).collect()
+    assert [r.license for r in named] == ["It's"]
+    assert license_scan.scan_licenses(df.limit(0)).count() == 0
+    assert license_scan.scan_licenses(df.limit(5), {}).where("license is not null").isEmpty()
+
+
 def test_join_counted_splits_hot_keys(spark):
     rows = spark.range(5_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 2_000)).alias("k"), "id")
     classes = rows.groupBy("k").agg(F.count("*").alias("n"))
