@@ -108,3 +108,52 @@ def test_smoothing_is_the_same_in_chunks_of_any_size(spark):
     for r in many.collect():
         assert r.a == pytest.approx(one[r.site_id, r.timestamp].a, abs=1e-6)
     assert all(one[s, t].a == v for s, t, v, _ in rows if v is not None)
+
+
+def _dense_smoother(y: np.ndarray, level: float, slope: float) -> tuple[np.ndarray, float]:
+    """Smoothed level and log likelihood of one whole series from the joint normal distribution."""
+    n, seen = len(y), ~np.isnan(y)
+    first = y[seen][0]
+    step, state = np.array([[1.0, 1.0], [0.0, 1.0]]), np.eye(2)
+    cov = np.zeros((n, n))
+    spread, spreads = np.eye(2) * kalman.PRIOR, []
+    for _ in range(n):
+        spreads.append(spread)
+        spread = step @ spread @ step.T + np.diag([level, slope])
+    for i in range(n):
+        state = spreads[i]
+        for j in range(i, n):
+            cov[i, j] = cov[j, i] = state[0, 0]
+            state = state @ step.T
+    told = cov[np.ix_(seen, seen)] + np.eye(seen.sum())
+    gap = y[seen] - first
+    weight = np.linalg.solve(told, gap)
+    value = -0.5 * (seen.sum() * np.log(gap @ weight / seen.sum()) + np.linalg.slogdet(told)[1])
+    return first + cov[:, seen] @ weight, value
+
+
+def test_variances_maximise_the_likelihood_and_smoothing_equals_the_dense_form(spark):
+    rng = np.random.default_rng(9)
+    series, rows = {}, []
+    for site, (level, slope, noise) in enumerate([(0.5, 0.0, 1.0), (0.01, 0.002, 0.3), (2.0, 0.1, 0.05)]):
+        trend = np.cumsum(rng.normal(size=150) * slope)
+        y = np.cumsum(rng.normal(size=150) * level + trend) + rng.normal(size=150) * noise
+        y[rng.random(150) < 0.3] = np.nan
+        series[site] = y
+        rows += [(site, t, None if np.isnan(v) else float(v)) for t, v in enumerate(y)]
+    rows += [(9, t, None) for t in range(5)] + [(None, t, float(t % 3)) for t in range(4)]
+    df = spark.createDataFrame(rows, "site_id int, timestamp int, a double")
+    fitted = {r.site_id: r for r in kalman.fit_variances(df, ["a"], chunk_rows=40).collect()}
+    filled = {(r.site_id, r.timestamp): r.a for r in kalman.fill_by_smoothing(df, ["a"], chunk_rows=70).collect()}
+    assert fitted[9].seen == 0 and filled[9, 0] is None and filled[None, 3] == 0.0
+    for site, y in series.items():
+        best = fitted[site]
+        dense, value = _dense_smoother(y, 10 ** best.level, 10 ** best.slope)
+        assert np.isclose(best.likelihood, value, atol=0.02)  # the dense matrix has entries up to 1e11 and loses digits
+        assert best.likelihood >= best.grid_likelihood
+        near = [(best.level + a, best.slope + b) for a in (-0.3, 0, 0.3) for b in (-0.3, 0, 0.3)]
+        around = [_dense_smoother(y, 10 ** a, 10 ** b)[1] for a, b in near if a <= kalman.HIGHEST[0] and b <= kalman.HIGHEST[1]]
+        assert best.likelihood >= max(around) - 0.02
+        got = np.array([filled[site, t] for t in range(len(y))])
+        assert np.allclose(got, np.where(np.isnan(y), dense, y), atol=2e-3)
+    assert any(r.likelihood > r.grid_likelihood + 0.1 for r in fitted.values())
