@@ -45,7 +45,8 @@ def test_cut_tree_gives_k_clusters(points):
     assert found.count() == 40 and {r[0] for r in found.select("cluster").distinct().collect()} == {1, 2, 3}
 
 
-@pytest.mark.parametrize("sizes", [knn.Sizes(), knn.Sizes(cell_rows=10, query_rows=4, corpus_rows=8)])
+@pytest.mark.parametrize("sizes", [knn.Sizes(), knn.Sizes(cell_rows=10, query_rows=4, corpus_rows=8),
+                                   knn.Sizes(cell_rows=3, fan=2, levels=3, query_rows=16, corpus_rows=2)])
 def test_nearest_distance_of_a_frame_to_itself(points, sizes):
     rows, df = points
     x = np.array([rows[i] for i in sorted(rows)])
@@ -55,6 +56,50 @@ def test_nearest_distance_of_a_frame_to_itself(points, sizes):
     assert np.allclose([got[i] for i in sorted(got)], gaps.min(1))
 
 
+def brute_neighbours(asked: np.ndarray, corpus: np.ndarray, value: np.ndarray, k: int) -> dict[int, tuple]:
+    """Distance of the k-th nearest row, and number and sum of the rows within it, by differences."""
+    out = {}
+    for i, q in enumerate(asked):
+        gaps = np.sqrt(((corpus - q) ** 2).sum(1))
+        kth = np.sort(gaps)[min(k, len(gaps)) - 1]
+        out[i] = (round(kth, 9), int((gaps <= kth).sum()), round(value[gaps <= kth].sum(), 6))
+    return out
+
+
+@pytest.mark.parametrize("k", [1, 9, 70])
+def test_neighbours_in_a_tree_equal_brute_force(spark, k):
+    rng = np.random.default_rng(11)
+    corpus = np.concatenate([rng.normal(size=(60, 3)) + c for c in rng.normal(scale=20, size=(10, 3))])
+    corpus = np.concatenate([corpus, np.repeat(corpus[:1], 200, axis=0), np.arange(60).reshape(-1, 3) * 0.5])
+    value, asked = rng.integers(0, 9, len(corpus)).astype(float), np.concatenate([corpus[::40], rng.normal(scale=30, size=(10, 3))])
+    df = spark.createDataFrame([(v.tolist(), float(y)) for v, y in zip(corpus, value)], "features array<double>, y double")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "id long, features array<double>")
+    want = brute_neighbours(asked, corpus, value, k)
+    for sizes in (knn.Sizes(), knn.Sizes(cell_rows=20, fan=8, query_rows=16, corpus_rows=16)):
+        found = knn.nearest(queries, df, "id", k, "y", sizes).groupBy("id").agg(
+            F.max("distance").alias("kth"), F.sum("n").alias("n"), F.sum("total").alias("total"))
+        assert {r.id: (round(r.kth, 9), r.n, round(r.total, 6)) for r in found.collect()} == want
+
+
+def test_a_deeper_tree_compares_fewer_pairs(spark):
+    rng = np.random.default_rng(12)
+    corpus = np.concatenate([rng.normal(size=(100, 3)) + c for c in rng.normal(scale=50, size=(12, 3))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)], "id long, features array<double>")
+    pairs, results = [], []
+    for sizes in (knn.Sizes(), knn.Sizes(cell_rows=300, fan=8), knn.Sizes(cell_rows=30, fan=8)):
+        tree = knn.Tree.build(df, None, sizes)
+        results.append(sorted((r.id, round(r.distance, 9), r.n) for r in tree.search(df, "id", 5).collect()))
+        pairs.append(sum(r[0] for m in tree.met for r in m.select(F.coalesce(F.sum(F.col("asked") * F.col("rows")), F.lit(0))).collect()))
+    assert results[0] == results[1] == results[2]
+    assert pairs[0] == len(corpus) ** 2 and pairs[0] > 2 * pairs[1] and pairs[1] > 2 * pairs[2]
+
+
+def test_neighbours_of_nothing(spark):
+    none = spark.createDataFrame([], "id long, features array<double>")
+    some = spark.createDataFrame([(1, [0.0, 1.0])], "id long, features array<double>")
+    assert knn.nearest(none, some, "id", 3).count() == 0 and knn.nearest(some, none, "id", 3).count() == 0
+
+
 def test_array_form_keeps_slots_in_order_and_gaps_null(spark):
     long = spark.createDataFrame([(1, "b", 2.0, 5.0), (1, "a", 1.0, None), (2, "b", 3.0, 6.0)], "id int, slot string, v double, w double")
     got = {r.id: r.features for r in reshape.to_array(long, "id", "slot", ["v", "w"], ["a", "b"]).collect()}
