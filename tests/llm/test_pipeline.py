@@ -2,12 +2,14 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from tools.check_oracle import compare, connect
+from wattweave.llm import language_id
 from wattweave.llm.catalog import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -51,6 +53,33 @@ def test_stages_take_an_empty_table(spark, docs, stage):
     assert stage(spark, docs.limit(0), FOLDER).count() == 0
 
 
+def test_language_stage_decides_by_score(spark, docs):
+    strange = ["这是一个中文文本,没有别的东西。", "これは日本語の文章です。", "Это русский текст о погоде.", "هذا نص باللغة العربية."]
+    more = docs.limit(1).select(*[c for c in docs.columns if c not in ("doc_id", "text", "lang")]).crossJoin(
+        spark.createDataFrame([(95_000 + i, t, None) for i, t in enumerate(strange)], "doc_id long, text string, lang string"))
+    every = docs.unionByName(more.select(docs.columns))
+    kept = corpus_pipeline.known_language(spark, every, FOLDER).persist()
+    assert kept.where("doc_id >= 95000").isEmpty()
+    assert kept.count() == docs.where("text is not null").count()
+    assert corpus_pipeline.known_language(spark, docs.withColumn("lang", F.lit(None).cast("string")), FOLDER).isEmpty()
+
+
+def test_least_score_follows_the_training_rows():
+    rng = np.random.default_rng(4)
+    low, high = (rng.random((200, language_id.BINS)) < share for share in (0.02, 0.3))
+    labels = ["a", "b"] * 100
+    for rows in (low, high):  # the bins of one language are half those of the other
+        rows[::2, : language_id.BINS // 2] = rows[1::2, language_id.BINS // 2 :] = False
+    borders = []
+    for rows in (low, high):
+        norm = np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
+        border = language_id.least_score(rows.astype(np.float32), labels, norm)
+        assert 0 < border < 0.6
+        borders.append(border)
+    assert borders[0] < borders[1]
+    assert language_id.least_score(low[:4].astype(np.float32), labels[:4], np.ones((4, 1))) == 0.0
+
+
 def test_whole_run(spark):
     rows = corpus_pipeline.run(spark, FOLDER)
     assert rows.count() > 100 and rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

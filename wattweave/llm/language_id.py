@@ -17,6 +17,8 @@ LANDMARKS = 256
 TRAIN_ROWS = 8_000
 RIDGE = 1e-3
 UNKNOWN = "und"
+#: The border of `least_score`.
+HELD_BACK, LOW_SHARE, LOW_PART = 5, 0.001, 0.5
 RUN = 500_000
 #: Characters of a window. Windows cover the whole text; one fills well under all of the bins.
 WINDOW = 8_000
@@ -126,11 +128,11 @@ def training_rows(docs: DataFrame, most: int) -> DataFrame:
     return known.where(at < share).select("lang", "text")
 
 
-def train(docs: DataFrame, most: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> Model | None:
-    """Learn from rows whose crc32(doc_id) mod 5 is not 0: a sample of about `most` rows, the documented bound.
+def sample(docs: DataFrame, most: int) -> tuple[np.ndarray, list[str], np.ndarray] | None:
+    """Presence, labels and norms of rows whose crc32(doc_id) mod 5 is not 0: about `most` rows, the documented bound.
 
     Presence is computed by the executors; BINS bits a row come to the driver, about 4 MB in all, and BINS half floats a
-    row of more than a window, at most 64 MB.
+    row of more than a window, at most 64 MB. The rows are in an order that has nothing to do with their labels.
     """
 
     def bits(batches):
@@ -152,8 +154,28 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -
             norm[place] = np.sqrt(max(1, np.count_nonzero(x[place])))
         else:
             x[place] = bits.view(np.float16)
-    del rows
-    return fit(x, labels, landmarks, norm=norm)
+    return x, labels, norm
+
+
+def train(docs: DataFrame, most: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> Model | None:
+    """Learn from the sample; none without a row that has a language and a doc_id."""
+    known = sample(docs, most)
+    return known and fit(known[0], known[1], landmarks, norm=known[2])
+
+
+def least_score(x: np.ndarray, labels: list[str], norm: np.ndarray, landmarks: int = LANDMARKS) -> float:
+    """The score below which a text is like none of the languages: LOW_PART of what the lowest LOW_SHARE of rows reach
+    that their model has not seen.
+
+    One row in HELD_BACK is held back and scored by a model of the others. Rows whose language that model gets wrong
+    count too, so the border lies below nearly all that the table itself calls a language. 0 without a row to hold back.
+    """
+    cut = len(labels) - len(labels) // HELD_BACK
+    if cut == len(labels):
+        return 0.0
+    model = fit(x[:cut], labels[:cut], landmarks, norm=norm[:cut])
+    best = [((x[i : i + 500] / norm[i : i + 500]) @ model.weights).max(axis=1) for i in range(cut, len(labels), 500)]
+    return float(LOW_PART * max(0.0, np.quantile(np.concatenate(best), LOW_SHARE)))
 
 
 def predict(docs: DataFrame, model: Model | None, columns: str, out) -> DataFrame:
@@ -197,12 +219,20 @@ def identify(docs: DataFrame, most: int = TRAIN_ROWS, landmarks: int = LANDMARKS
     return predict(rows, train(docs, most, landmarks), "doc_id long, held_out boolean, lang_pred string, score double", out)
 
 
-def with_language(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is known with a score of `least` or more."""
-    columns = docs.columns
+def with_language(docs: DataFrame, least: float | None = None, most: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is known with a score of `least` or more.
+
+    Without `least` the border is `least_score` of the training rows. A text in no language that was learned, or noise
+    with a few letters, stays below it.
+    """
+    columns, known = docs.columns, sample(docs, most)
+    if known and least is None:
+        least = least_score(*known)
+    model = known and fit(known[0], known[1], norm=known[2])
+    del known
 
     def out(b, found, scores):
         keep = pa.array([x != UNKNOWN and s >= least for x, s in zip(found, scores)], pa.bool_())
         return b.select(columns).filter(keep)
 
-    return predict(docs, train(docs), docs.schema, out)
+    return predict(docs, model, docs.schema, out)
