@@ -8,6 +8,7 @@ from wattweave.operators import clustering, discriminant, kalman, knn, linkage,
 from wattweave.plans.classify import classify
 from wattweave.sources import tables
 from wattweave.sources.schemas import BUILDINGS
+from wattweave.sources.shared import materialise
 
 
 def naive_complete_linkage(points: dict[int, np.ndarray]) -> list[tuple[int, int, float]]:
@@ -27,16 +28,29 @@ def points(spark):
     return rows, spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "id long, features array<double>")
 
 
-@pytest.mark.parametrize("block", [2_048, 25])
-def test_complete_linkage_equals_the_naive_tree(points, block):
+@pytest.mark.parametrize(("block", "finish"), [(8, 256), (16, 20)])
+def test_complete_linkage_equals_the_naive_tree(points, block, finish):
     rows, df = points
-    if block < len(rows):
-        rows, df = {i: rows[i] for i in range(12)}, df.where("id < 12")
-        block = 8
-    got = sorted((r.kept, r.gone, r.height) for r in linkage.complete_linkage(df, "id", block).collect())
+    got = sorted((r.kept, r.gone, r.height) for r in linkage.complete_linkage(df, "id", block, finish).collect())
     want = naive_complete_linkage(rows)
     assert [x[:2] for x in got] == [x[:2] for x in want]
-    assert np.allclose([x[2] for x in got], [x[2] for x in want], atol=1e-6)
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], rtol=1e-12)
+
+
+def test_linkage_goes_by_several_tasks_and_clusters_larger_than_a_block(spark):
+    rng = np.random.default_rng(8)
+    x, of = rng.normal(size=(120, 3)), np.concatenate([np.zeros(60, int), np.arange(60) % 4 + 1])
+    members = materialise(spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, of))],
+                                                "key long, features array<double>, cluster long"))
+    gaps = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    most = np.array([[gaps[np.ix_(of == a, of == b)].max() for b in range(5)] for a in range(5)])
+    met = linkage._meet_blocks(members, members, 120, 16, linkage._block_gaps, "one long, other long, distance double", half=True)
+    got = {(r.one, r.other): r.distance for r in met.groupBy("one", "other").agg(F.max("distance").alias("distance")).collect()}
+    assert got == {(a, b): pytest.approx(most[a, b], rel=1e-12) for a in range(5) for b in range(a + 1, 5)}
+    np.fill_diagonal(most, np.inf)
+    near = {r.cluster: (r.near, r.distance) for r in linkage._search(members, members, 120, 16).collect()}
+    assert near == {a: (most[a].argmin(), pytest.approx(most[a].min(), rel=1e-12)) for a in range(5)}
+    assert met.select(F.spark_partition_id().alias("p")).distinct().count() > 1
 
 
 def test_cut_tree_gives_k_clusters(points):
@@ -45,6 +59,11 @@ def test_cut_tree_gives_k_clusters(points):
     assert found.count() == 40 and {r[0] for r in found.select("cluster").distinct().collect()} == {1, 2, 3}
 
 
+def test_linkage_of_one_row_and_of_none(spark):
+    one = spark.createDataFrame([(1, [0.0, 1.0])], "id long, features array<double>")
+    assert linkage.complete_linkage(one, "id").count() == 0 and linkage.complete_linkage(one.limit(0), "id").count() == 0
+
+
 @pytest.mark.parametrize("sizes", [knn.Sizes(), knn.Sizes(cell_rows=10, query_rows=4, corpus_rows=8),
                                    knn.Sizes(cell_rows=3, fan=2, levels=3, query_rows=16, corpus_rows=2)])
 def test_nearest_distance_of_a_frame_to_itself(points, sizes):

@@ -5,6 +5,9 @@ relabels their members; for complete linkage this builds the same tree as mergin
 clusters whose neighbour has changed are searched again. A task compares one block of members with one block
 of members and returns one candidate per cluster, so pairs of rows never leave it. A cluster larger than a
 block is cut into parts, whose partial maxima are combined before the minimum is taken.
+
+When few clusters are left, however many rows they hold, all their distances are taken the same way, block by block,
+and the top of the tree is merged from that table of bounded size.
 """
 
 from __future__ import annotations
@@ -16,16 +19,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattweave.operators.knn import matrix, squared_gaps
+from wattweave.operators.knn import exact_gaps, matrix
 from wattweave.sources.shared import materialise
 
 BLOCK_ROWS = 2_048
+#: Rows of a block while there are few, so that several tasks share them, and how many blocks there then are at most.
+LEAST_ROWS, LEAST_BLOCKS = 64, 4
+MOST_TASKS = 10_000
+#: Clusters whose table of distances one task merges: half a million distances, whatever the number of rows.
+FINISH = 1_024
 
 
-def complete_linkage(rows: DataFrame, key: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def complete_linkage(rows: DataFrame, key: str, block_rows: int = BLOCK_ROWS, finish: int = FINISH) -> DataFrame:
     """The merge tree of rows with complete ``features``: (kept, gone, height, step).
 
-    A cluster is named by its smallest key; ``gone`` joins ``kept``. Equal rows merge first, at height zero.
+    A cluster is named by its smallest key; ``gone`` joins ``kept``. Equal rows merge first, at height zero. Rounds
+    merge until ``finish`` clusters are left; both sizes steer cost and memory, never the tree.
     """
     keyed = rows.select(F.col(key).cast("long").alias("key"), "features")
     members = materialise(keyed.groupBy("features").agg(F.min("key").alias("key"))
@@ -34,61 +43,62 @@ def complete_linkage(rows: DataFrame, key: str, block_rows: int = BLOCK_ROWS) ->
               .select(F.col("cluster").alias("kept"), F.col("key").alias("gone"), F.lit(0.0).alias("height"),
                       F.lit(0).alias("step")))
     tree = [copies]
-    left = members.count()
-    if left <= block_rows:
-        return copies.unionByName(_small_tree(members))
+    left = n = members.count()
     near = None
     step = 0
-    while left > 1:
+    while left > finish:
         step += 1
-        near = materialise(_refresh(members, near, block_rows))
+        near = materialise(_refresh(members, near, n, block_rows))
         pairs = _mutual_pairs(near)
         merges = materialise(pairs.withColumn("step", F.lit(step)))
         n_merges = merges.count()
-        if n_merges == 0:  # only possible among distances equal up to rounding: merge the closest pair
-            merges = materialise(_closest_pair(near).withColumn("step", F.lit(step)))
-            n_merges = 1
+        if not n_merges:  # two of the least distance are each other's nearest, unless a distance is no number
+            raise ValueError("features have values that are no numbers")
         tree.append(merges)
         left -= n_merges
         renamed = merges.select(F.col("gone").alias("cluster"), F.col("kept"))
         members = materialise(members.join(renamed, "cluster", "left")
                               .select("key", "features", F.coalesce("kept", "cluster").alias("cluster")))
         near = _still_valid(near, merges)
+    tree.append(_top_of_tree(members, n, block_rows, step))
     out = tree[0]
     for part in tree[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _small_tree(members: DataFrame) -> DataFrame:
-    """The whole tree in one task: at most a block of rows, so a matrix of block_rows squared at most."""
-    one = members.select("key", "features").groupBy(F.lit(0).alias("all"))
-    return one.applyInArrow(_merge_all, "kept long, gone long, height double, step int")
+def _top_of_tree(members: DataFrame, n: int, block_rows: int, step: int) -> DataFrame:
+    """The merges of the clusters that are left, from the table of their distances: at most FINISH clusters."""
+    gaps = _meet_blocks(members, members, n, block_rows, _block_gaps, "one long, other long, distance double", half=True)
+    table = gaps.groupBy("one", "other").agg(F.max("distance").alias("distance"))
+
+    def merge(got: pa.Table) -> pa.Table:
+        return _merge_all(got, step)
+
+    return table.groupBy(F.lit(0).alias("all")).applyInArrow(merge, "kept long, gone long, height double, step int")
 
 
-def _merge_all(table: pa.Table) -> pa.Table:
-    keys = table.column("key").to_numpy()
-    order = np.argsort(keys)
-    keys, x = keys[order], matrix(table.column("features"))[order]
-    gaps = np.empty((len(x), len(x)))
-    for i, row in enumerate(x):
-        gaps[i] = np.sqrt(((x - row) ** 2).sum(1))
-    np.fill_diagonal(gaps, np.inf)
+def _merge_all(table: pa.Table, done: int) -> pa.Table:
+    one, other = table.column("one").to_numpy(), table.column("other").to_numpy()
+    keys = np.unique(np.concatenate([one, other]))
+    gaps = np.full((len(keys), len(keys)), np.inf)
+    i, j = np.searchsorted(keys, one), np.searchsorted(keys, other)
+    gaps[i, j] = gaps[j, i] = table.column("distance").to_numpy()
     near = gaps.argmin(1)
-    best = gaps[np.arange(len(x)), near]
+    best = gaps[np.arange(len(keys)), near]
     merges = []
-    for step in range(1, len(x)):
+    for step in range(1, len(keys)):
         a = int(best.argmin())
         a, b = sorted((a, int(near[a])))
-        merges.append((keys[a], keys[b], float(gaps[a, b]), step))
+        merges.append((keys[a], keys[b], float(gaps[a, b]), done + step))
         joined = np.maximum(gaps[a], gaps[b])
         gaps[a], gaps[:, a], gaps[b], gaps[:, b] = joined, joined, np.inf, np.inf
         gaps[a, a] = best[b] = np.inf
-        for i in np.flatnonzero((near == a) | (near == b) | (np.arange(len(x)) == a)):
+        for i in np.flatnonzero((near == a) | (near == b) | (np.arange(len(keys)) == a)):
             if i != b and np.isfinite(best[i]) or i == a:
                 near[i] = gaps[i].argmin()
                 best[i] = gaps[i, near[i]]
-    kept, gone, height, at = zip(*merges) if merges else ((), (), (), ())
+    kept, gone, height, at = zip(*merges)
     return pa.table({"kept": pa.array(kept, pa.int64()), "gone": pa.array(gone, pa.int64()),
                      "height": pa.array(height, pa.float64()), "step": pa.array(at, pa.int32())})
 
@@ -99,12 +109,6 @@ def _mutual_pairs(near: DataFrame) -> DataFrame:
             .select(F.col("cluster").alias("kept"), F.col("near").alias("gone"), F.col("distance").alias("height")))
 
 
-def _closest_pair(near: DataFrame) -> DataFrame:
-    return (near.orderBy("distance", "cluster").limit(1)
-            .select(F.least("cluster", "near").alias("kept"), F.greatest("cluster", "near").alias("gone"),
-                    F.col("distance").alias("height")))
-
-
 def _still_valid(near: DataFrame, merges: DataFrame) -> DataFrame:
     """Neighbours that the merges have not touched on either side; by reducibility they stay nearest."""
     touched = merges.select(F.explode(F.array("kept", "gone")).alias("id"))
@@ -112,41 +116,62 @@ def _still_valid(near: DataFrame, merges: DataFrame) -> DataFrame:
             .join(touched, F.col("near") == touched["id"], "left_anti"))
 
 
-def _refresh(members: DataFrame, near: DataFrame | None, block_rows: int) -> DataFrame:
+def _refresh(members: DataFrame, near: DataFrame | None, n: int, block_rows: int) -> DataFrame:
     """Nearest other cluster per cluster: those given, and a search for the rest."""
     if near is None:
-        return _search(members, members, block_rows)
+        return _search(members, members, n, block_rows)
     stale = members.join(near.select("cluster"), "cluster", "left_anti")
-    return near.unionByName(_search(stale, members, block_rows))
+    return near.unionByName(_search(stale, members, n, block_rows))
 
 
-def _search(asked: DataFrame, members: DataFrame, block_rows: int) -> DataFrame:
-    n = members.count()
-    blocks = max(1, math.ceil(n / block_rows))
+def _meet_blocks(asked: DataFrame, members: DataFrame, n: int, block_rows: int, work, columns: str, half: bool = False) -> DataFrame:
+    """work on each block of the asked rows with each block of all members; with ``half``, on each two blocks once."""
+    blocks = max(math.ceil(n / block_rows), min(LEAST_BLOCKS, math.ceil(n / LEAST_ROWS)), 1)
 
     def placed(df: DataFrame) -> DataFrame:
-        if blocks == 1:  # no cluster can exceed a block
-            return df.select("cluster", "features", F.lit(1).alias("parts"), F.lit(0).alias("block"))
-        parts = df.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+        parts = df.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) * blocks / n).cast("int").alias("parts"))
         part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("key"), "parts")).otherwise(0)
         return (df.join(parts, "cluster")
                 .select("cluster", "features", "parts",
                         F.pmod(F.xxhash64("cluster", part), F.lit(blocks)).cast("int").alias("block")))
 
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = placed(asked).withColumnRenamed("block", "a").withColumn("b", F.explode(every))
-    right = placed(members).withColumnRenamed("block", "b").withColumn("a", F.explode(every))
+    first, last = F.lit(0), F.lit(blocks - 1)
+    left = placed(asked).withColumnRenamed("block", "a").withColumn("b", F.explode(F.sequence(F.col("a") if half else first, last)))
+    right = placed(members).withColumnRenamed("block", "b").withColumn("a", F.explode(F.sequence(first, F.col("b") if half else last)))
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both sides descend from one frame
-    found = (left.groupBy("a", "b").cogroup(right.groupBy("a", "b"))
-             .applyInArrow(_block_linkage, "cluster long, near long, distance double, final boolean"))
-    if blocks > 1:
-        found = found.where("final").select("cluster", "near", "distance").unionByName(
-            found.where(~F.col("final")).groupBy("cluster", "near").agg(F.max("distance").alias("distance")))
+    tasks = min(blocks * blocks, MOST_TASKS)  # stated, as few bytes make much work here and would be put in one task
+    left, right = left.repartition(tasks, "a", "b"), right.repartition(tasks, "a", "b")
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(work, columns)
+
+
+def _search(asked: DataFrame, members: DataFrame, n: int, block_rows: int) -> DataFrame:
+    found = _meet_blocks(asked, members, n, block_rows, _block_linkage, "cluster long, near long, distance double, final boolean")
+    found = found.where("final").select("cluster", "near", "distance").unionByName(
+        found.where(~F.col("final")).groupBy("cluster", "near").agg(F.max("distance").alias("distance")))
     return found.groupBy("cluster").agg(
         F.min_by(F.struct("near", "distance"), F.struct("distance", "near")).alias("best")).select(
         "cluster", "best.near", "best.distance")
 
 
+def _linked(left: pa.Table, right: pa.Table):
+    """Clusters of two blocks with their parts, and the largest distance between members of each two of them."""
+    a, a_starts, a_parts, x = _sorted_block(left)
+    b, b_starts, b_parts, y = _sorted_block(right)
+    gaps = np.concatenate([np.maximum.reduceat(exact_gaps(y, x[i:i + 64]).T, b_starts, axis=1) for i in range(0, len(x), 64)])
+    gaps = np.maximum.reduceat(gaps, a_starts, axis=0)
+    gaps[a[:, None] == b[None, :]] = np.inf
+    return a, a_parts, b, b_parts, gaps
+
+
+def _block_gaps(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Every two clusters of the blocks, the smaller name first, with the largest distance between their members here."""
+    if not (left.num_rows and right.num_rows):
+        return pa.table({"one": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+    a, _, b, _, gaps = _linked(left, right)
+    rows, cols = np.nonzero(np.isfinite(gaps))
+    return pa.table({"one": np.minimum(a[rows], b[cols]), "other": np.maximum(a[rows], b[cols]), "distance": gaps[rows, cols]})
+
+
 def _block_linkage(left: pa.Table, right: pa.Table) -> pa.Table:
     """Largest member distance per pair of clusters in two blocks: per cluster the nearest one whose distance is
     final, and every pair of which one side has parts elsewhere."""
@@ -154,11 +179,7 @@ def _block_linkage(left: pa.Table, right: pa.Table) -> pa.Table:
              "distance": pa.array([], pa.float64()), "final": pa.array([], pa.bool_())}
     if not (left.num_rows and right.num_rows):
         return pa.table(empty)
-    a, a_starts, a_parts, x = _sorted_block(left)
-    b, b_starts, b_parts, y = _sorted_block(right)
-    gaps = np.maximum.reduceat(squared_gaps(x, y), b_starts, axis=1)
-    gaps = np.sqrt(np.maximum.reduceat(gaps, a_starts, axis=0))
-    gaps[a[:, None] == b[None, :]] = np.inf
+    a, a_parts, b, b_parts, gaps = _linked(left, right)
     partial = (a_parts[:, None] > 1) | (b_parts[None, :] > 1)
     whole = np.where(partial, np.inf, gaps)
     best = whole.argmin(1)
