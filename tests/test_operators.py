@@ -53,6 +53,20 @@ def test_linkage_goes_by_several_tasks_and_clusters_larger_than_a_block(spark):
     assert met.select(F.spark_partition_id().alias("p")).distinct().count() > 1
 
 
+def test_size_estimates_do_not_grow_over_the_rounds(points, monkeypatch):
+    _, df = points
+    sizes, kept = [], linkage.rewritten
+
+    def watched(frame):
+        out = kept(frame)
+        sizes.append(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        return out
+
+    monkeypatch.setattr(linkage, "rewritten", watched)
+    assert linkage.complete_linkage(df, "id", 16, finish=20).count() == 39
+    assert len(sizes) > 5 and max(sizes) < 1_000_000
+
+
 def test_cut_tree_gives_k_clusters(points):
     _, df = points
     found = linkage.hierarchical_clusters(df, "id", 3)

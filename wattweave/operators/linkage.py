@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattweave.operators.knn import exact_gaps, matrix
-from wattweave.sources.shared import materialise
+from wattweave.sources.shared import rewritten
 
 BLOCK_ROWS = 2_048
 #: Rows of a block while there are few, so that several tasks share them, and how many blocks there then are at most.
 LEAST_ROWS, LEAST_BLOCKS = 64, 4
-MOST_TASKS = 10_000
+#: Tasks of a round at most; the driver keeps a record of each. A task then has several pairs of blocks, one at a time.
+MOST_TASKS = 1_000
 #: Clusters whose table of distances one task merges: half a million distances, whatever the number of rows.
 FINISH = 1_024
 
@@ -37,7 +38,7 @@ def complete_linkage(rows: DataFrame, key: str, block_rows: int = BLOCK_ROWS, fi
     merge until ``finish`` clusters are left; both sizes steer cost and memory, never the tree.
     """
     keyed = rows.select(F.col(key).cast("long").alias("key"), "features")
-    members = materialise(keyed.groupBy("features").agg(F.min("key").alias("key"))
+    members = rewritten(keyed.groupBy("features").agg(F.min("key").alias("key"))
                           .select("key", "features", F.col("key").alias("cluster")))
     copies = (keyed.join(members.select("features", "cluster"), "features").where(F.col("key") != F.col("cluster"))
               .select(F.col("cluster").alias("kept"), F.col("key").alias("gone"), F.lit(0.0).alias("height"),
@@ -48,16 +49,16 @@ def complete_linkage(rows: DataFrame, key: str, block_rows: int = BLOCK_ROWS, fi
     step = 0
     while left > finish:
         step += 1
-        near = materialise(_refresh(members, near, n, block_rows))
+        near = rewritten(_refresh(members, near, n, block_rows))
         pairs = _mutual_pairs(near)
-        merges = materialise(pairs.withColumn("step", F.lit(step)))
+        merges = rewritten(pairs.withColumn("step", F.lit(step)))
         n_merges = merges.count()
         if not n_merges:  # two of the least distance are each other's nearest, unless a distance is no number
             raise ValueError("features have values that are no numbers")
         tree.append(merges)
         left -= n_merges
         renamed = merges.select(F.col("gone").alias("cluster"), F.col("kept"))
-        members = materialise(members.join(renamed, "cluster", "left")
+        members = rewritten(members.join(renamed, "cluster", "left")
                               .select("key", "features", F.coalesce("kept", "cluster").alias("cluster")))
         near = _still_valid(near, merges)
     tree.append(_top_of_tree(members, n, block_rows, step))
@@ -205,8 +206,8 @@ def cut_tree(rows: DataFrame, key: str, tree: DataFrame, k: int) -> DataFrame:
     undone = tree.orderBy(F.desc("height"), F.desc("step"), F.desc("gone")).limit(k - 1).select("gone")
     links = tree.join(undone, "gone", "left_anti").select(F.col("gone").alias("node"), F.col("kept").alias("up"))
     nodes = rows.select(F.col(key).cast("long").alias("node"))
-    current = materialise(nodes.join(links, "node", "left").withColumn("up", F.coalesce("up", "node")))
-    roots = materialise(current.where(F.col("node") == F.col("up")).select(F.col("node").alias("root")))  # k rows
+    current = rewritten(nodes.join(links, "node", "left").withColumn("up", F.coalesce("up", "node")))
+    roots = rewritten(current.where(F.col("node") == F.col("up")).select(F.col("node").alias("root")))  # k rows
     settled, waiting = None, current
     while True:
         here = waiting.join(roots, waiting["up"] == roots["root"], "left_semi")
@@ -214,12 +215,12 @@ def cut_tree(rows: DataFrame, key: str, tree: DataFrame, k: int) -> DataFrame:
         rest = waiting.join(roots, waiting["up"] == roots["root"], "left_anti")
         # jump two links at a time; rows that have reached one of the k roots stay out of the joins
         above = current.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        waiting = materialise(rest.join(above, "up").select("node", F.col("top").alias("up")))
+        waiting = rewritten(rest.join(above, "up").select("node", F.col("top").alias("up")))
         if waiting.isEmpty():
             break
         done = current.join(F.broadcast(roots), current["up"] == roots["root"], "left_semi")
         moving = current.join(F.broadcast(roots), current["up"] == roots["root"], "left_anti")
-        current = materialise(done.unionByName(moving.join(above, "up").select("node", F.col("top").alias("up"))))
+        current = rewritten(done.unionByName(moving.join(above, "up").select("node", F.col("top").alias("up"))))
     numbered = roots.withColumn("cluster", F.row_number().over(Window.orderBy("root")))
     return settled.join(numbered, settled["up"] == numbered["root"]).select(F.col("node").alias(key), "cluster")
 

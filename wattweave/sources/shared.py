@@ -93,6 +93,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return listed(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
 
 
+def rewritten(df: DataFrame) -> DataFrame:
+    """The rows as a table of files in the shared folder, for frames that are made from themselves round by round.
+
+    A checkpoint keeps the size that was estimated for its plan, and a join multiplies its sides' estimates: over rounds
+    that number has ever more digits, until the driver's memory holds no more of them. Files have their real size.
+    """
+    path = new_path(df.sparkSession, "rewritten")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package's source to the executors, once per context: their tasks import it by name."""
     context = spark.sparkContext
