@@ -80,6 +80,22 @@ def test_least_score_follows_the_training_rows():
     assert language_id.least_score(low[:4].astype(np.float32), labels[:4], np.ones((4, 1))) == 0.0
 
 
+def test_language_model_and_border_come_from_every_row(spark, docs):
+    x, labels, norm = language_id.sample(docs, 60)  # landmarks of a few rows, a model of all
+    basis, languages = language_id.Basis.of(x, labels, norm), sorted(set(labels))
+    model, without, n = language_id.fit_all(docs, basis, languages)
+    rows = language_id.learnable(docs).where(F.col("lang").isin(languages)).collect()
+    assert len(rows) > 100 and n == sum(r.held for r in rows)
+    z = basis.place([r.text for r in rows])
+    for got, use in ((model, [True] * len(rows)), (without, [not r.held for r in rows])):
+        some, y = z[use], np.array([[r.lang == x for x in languages] for r, u in zip(rows, use) if u], float)
+        weight = (y / y.sum(0)).sum(1)[:, None] / len(languages)
+        want = basis.model(languages, some.T @ (weight * some), some.T @ (weight * y))
+        assert np.allclose(got.weights, want.weights, atol=1e-4)
+    scores = without.score([r.text for r in rows if r.held])[1]
+    assert language_id.least_held_score(docs, without, n) == pytest.approx(0.5 * np.quantile(scores, 0.001), abs=1e-9)
+
+
 def test_whole_run(spark):
     rows = corpus_pipeline.run(spark, FOLDER)
     assert rows.count() > 100 and rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -178,6 +180,98 @@ def least_score(x: np.ndarray, labels: list[str], norm: np.ndarray, landmarks: i
     return float(LOW_PART * max(0.0, np.quantile(np.concatenate(best), LOW_SHARE)))
 
 
+def learnable(docs: DataFrame) -> DataFrame:
+    """lang, text and held of every row that may be learned from; one in HELD_BACK is held, by a hash of text and id."""
+    known = docs.select(F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("crc"), "doc_id", "lang",
+                        F.coalesce("text", F.lit("")).alias("text")).where("lang is not null and crc % 5 <> 0")
+    held = F.pmod(F.xxhash64(F.lit("held"), "doc_id", "text"), F.lit(HELD_BACK)) == 0
+    return known.where(F.col("text").rlike(r"\p{L}")).select("lang", "text", held.alias("held"))
+
+
+@dataclass
+class Basis:
+    """The landmarks' rows and what they are divided by, and the root that makes their kernel columns independent."""
+
+    marks: np.ndarray
+    norm: np.ndarray
+    root: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray, labels: list[str], norm: np.ndarray, landmarks: int = LANDMARKS) -> Basis:
+        languages, named = sorted(set(labels)), np.array(labels)
+        each = max(1, landmarks // len(languages))
+        chosen = np.concatenate([np.flatnonzero(named == language)[:each] for language in languages])
+        marks = x[chosen].astype(np.float64) / norm[chosen]
+        values, vectors = np.linalg.eigh(marks @ marks.T)
+        keep = values > 1e-8 * values[-1]
+        return cls(x[chosen].astype(np.float32), norm[chosen], vectors[:, keep] / np.sqrt(values[keep]))
+
+    def place(self, texts: list[str]) -> np.ndarray:
+        """The texts in the span of the landmarks. Shared bins are whole numbers, which float32 adds without rounding."""
+        near = np.zeros((len(texts), len(self.marks)))
+        for rows, x, norm, shares in unit_windows(texts):
+            np.add.at(near, rows, (x @ self.marks.T) / norm / self.norm.T * shares)
+        return near @ self.root
+
+    def model(self, languages: list[str], gram: np.ndarray, goal: np.ndarray, ridge: float = RIDGE) -> Model:
+        beta = np.linalg.solve(gram + ridge * np.eye(len(gram)), goal)
+        return Model(languages, ((self.marks / self.norm).T @ (self.root @ beta)).astype(np.float32))
+
+
+def fit_all(docs: DataFrame, basis: Basis, languages: list[str]) -> tuple[Model, Model, int]:
+    """The ridge regression of `fit` over every row that may be learned from: the model of all of them, the one without
+    the held rows, and how many are held.
+
+    Tasks add up the products of their rows in the span of the landmarks; a row of these sums is a row of a landmark, so
+    what is shuffled and collected has the size of the basis, whatever the number of documents.
+    """
+    known = learnable(docs).where(F.col("lang").isin(languages))
+    counts = {(r["lang"], r["held"]): r["count"] for r in known.groupBy("lang", "held").count().collect()}
+    totals = [[sum(counts.get((x, h), 0) for h in which) for x in languages] for which in ((False, True), (False,))]
+    weights = [{x: 1 / n / sum(m > 0 for m in some) for x, n in zip(languages, some) if n} for some in totals]
+    at = {x: i for i, x in enumerate(languages)}
+    r, k = basis.root.shape[1], len(languages)
+
+    def sums(batches):
+        total = np.zeros((r, 2 * (r + k)))
+        for b in batches:
+            texts, langs, held = (b.column(c).to_pylist() for c in ("text", "lang", "held"))
+            for i in range(0, len(texts), 256):
+                z, some = basis.place(texts[i : i + 256]), langs[i : i + 256]
+                of = np.eye(k)[[at[x] for x in some]]
+                everyone = np.array([weights[0][x] for x in some])
+                learned = np.array([0.0 if h else weights[1][x] for x, h in zip(some, held[i : i + 256])])
+                for j, weight in enumerate((everyone, learned)):
+                    total[:, j * (r + k) : (j + 1) * (r + k)] += z.T @ (weight[:, None] * np.hstack([z, of]))
+        yield pa.RecordBatch.from_arrays([pa.array(range(r), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["row", "sums"])
+
+    small_batches(docs.sparkSession)
+    added = known.mapInArrow(task(sums), "row int, sums array<double>").groupBy("row").agg(
+        Summarizer.sum(array_to_vector("sums")).alias("sums")).collect()
+    total = np.zeros((r, 2 * (r + k)))
+    for found in added:
+        total[found["row"]] = found["sums"].toArray()
+    models = [basis.model(languages, half[:, :r], half[:, r:]) for half in (total[:, : r + k], total[:, r + k :])]
+    return models[0], models[1], sum(n for (_, held), n in counts.items() if held)
+
+
+def least_held_score(docs: DataFrame, model: Model, n: int) -> float:
+    """What `least_score` says of its rows, of all `n` held rows of docs: model has not learned from them."""
+    if not n:
+        return 0.0
+    held = learnable(docs).where(F.col("held") & F.col("lang").isin(model.languages))
+
+    def out(b, found, scores):
+        return pa.RecordBatch.from_arrays([pa.array(scores, pa.float64())], names=["score"])
+
+    scores = predict(held.select("text"), model, "score double", out)
+    place = LOW_SHARE * (n - 1)
+    below = int(place)
+    pair = scores.orderBy("score").limit(below + 2).orderBy(F.desc("score")).limit(2 if below + 2 <= n else 1).collect()
+    high, low = pair[0][0], pair[-1][0]
+    return float(LOW_PART * max(0.0, low + (high - low) * (place - below)))
+
+
 def predict(docs: DataFrame, model: Model | None, columns: str, out) -> DataFrame:
     """mapInArrow over batches; out(batch, languages, scores) gives the arrays of `columns`. No shuffle."""
 
@@ -222,13 +316,16 @@ def identify(docs: DataFrame, most: int = TRAIN_ROWS, landmarks: int = LANDMARKS
 def with_language(docs: DataFrame, least: float | None = None, most: int = TRAIN_ROWS) -> DataFrame:
     """The rows of docs, with all their columns, whose language is known with a score of `least` or more.
 
-    Without `least` the border is `least_score` of the training rows. A text in no language that was learned, or noise
-    with a few letters, stays below it.
+    The model learns from every row that it may learn from; `most` bounds the rows of which the landmarks are chosen.
+    Without `least` the border is that of `least_score` over all held rows. A text in no language that was learned, or
+    noise with a few letters, stays below it.
     """
-    columns, known = docs.columns, sample(docs, most)
-    if known and least is None:
-        least = least_score(*known)
-    model = known and fit(known[0], known[1], norm=known[2])
+    columns, known, model = docs.columns, sample(docs, most), None
+    if known:
+        x, labels, norm = known
+        model, without, held = fit_all(docs, Basis.of(x, labels, norm), sorted(set(labels)))
+        least = least_held_score(docs, without, held) if least is None else least
+        del x
     del known
 
     def out(b, found, scores):
