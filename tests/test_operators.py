@@ -1,6 +1,7 @@
 """Semantics that the star-schema tables cannot show."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,16 @@ def test_a_deeper_tree_compares_fewer_pairs(spark):
     assert pairs[0] == len(corpus) ** 2 and pairs[0] > 2 * pairs[1] and pairs[1] > 2 * pairs[2]
 
 
+def test_many_queries_make_few_copies_of_the_corpus(spark):
+    def counted(left, right):
+        return pa.table({"n": pa.array([left.num_rows], pa.int64())})
+
+    asked = spark.range(20_000).select(F.lit(1).cast("long").alias("node"), "id")
+    corpus = spark.range(10).select(F.lit(1).cast("long").alias("node"), F.col("id").alias("point"))
+    met = knn._meet(asked, corpus, counted, "n long", F.xxhash64("id"), knn.Sizes().query_rows, knn.Sizes().corpus_rows)[0].collect()
+    assert sum(r.n for r in met) == 20_000 and 1 < len(met) <= knn.LEAST_BLOCKS < 20_000 / 2_048
+
+
 def test_neighbours_of_nothing(spark):
     none = spark.createDataFrame([], "id long, features array<double>")
     some = spark.createDataFrame([(1, [0.0, 1.0])], "id long, features array<double>")

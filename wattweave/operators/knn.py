@@ -34,11 +34,17 @@ from wattweave.sources.shared import materialise
 class Sizes:
     """Row counts that bound what a task holds; they steer cost and memory, never the result."""
 
-    cell_rows: int = 50_000
-    fan: int = 64
+    cell_rows: int = 250_000
+    fan: int = 16
     levels: int = 9
-    query_rows: int = 2_048
-    corpus_rows: int = 16_384
+    query_rows: int = 32_768
+    corpus_rows: int = 32_768
+
+
+#: A side with few rows is dealt into blocks of so many rows, this number of blocks at most, so that several tasks share it.
+LEAST_ROWS, LEAST_BLOCKS = 2_048, 4
+#: Distances that a block's search holds at once.
+HELD_GAPS = 1 << 22
 
 
 ROOT = 1
@@ -177,7 +183,9 @@ def _meet(left: DataFrame, right: DataFrame, work: Callable[[pa.Table, pa.Table]
     """
     sides = [df.groupBy("node").agg(F.count(F.lit(1)).alias(name)) for df, name in ((left, "asked"), (right, "rows"))]
     layout = sides[0].join(sides[1], "node")
-    parts = layout.select("node", F.ceil(F.col("asked") / left_rows).alias("left_parts"), F.ceil(F.col("rows") / right_rows).alias("right_parts"))
+    shared = F.least(F.ceil(F.col("asked") / min(LEAST_ROWS, left_rows)), F.lit(LEAST_BLOCKS))
+    parts = layout.select("node", F.greatest(F.ceil(F.col("asked") / left_rows), shared).alias("left_parts"),
+                          F.ceil(F.col("rows") / right_rows).alias("right_parts"))
     block = ["node", "left_part", "right_part"]
     nothing = to_arrow_schema(StructType.fromDDL(columns)).empty_table()
 
@@ -239,8 +247,9 @@ def _block_search(k: int):
         ids, bounds = left.column("key").to_pylist(), left.column("bound").to_numpy() * (1 + ROOM)
         kth = min(k, len(points)) - 1
         norm = (points * points).sum(1).max()
-        for start in range(0, len(asked), 256):
-            some = asked[start:start + 256]
+        held = max(1, min(256, HELD_GAPS // len(points)))
+        for start in range(0, len(asked), held):
+            some = asked[start:start + held]
             rough = squared_gaps(some, points)
             # wide enough for the rounding of the product form; exact distances decide below
             limit = np.partition(rough, kth, axis=1)[:, kth] + 1e-9 * ((some * some).sum(1) + norm)
