@@ -16,6 +16,9 @@ from wattweave.operators.blocks import collected_sums, to_blocks
 from wattweave.operators.knn import matrix, squared_gaps
 from wattweave.operators.projections import with_day_hour
 
+#: Rows whose distances to the centres of all models are held at once.
+SCAN_ROWS = 1_024
+
 
 def scaled_rows(df: DataFrame, features: str = "features") -> DataFrame:
     """Rows scaled to mean 0 and sd 1 each; rows with a gap or without spread are left out."""
@@ -47,16 +50,27 @@ def lloyd(df: DataFrame, ks: list[int], restarts: int = 10, seed: int = 1, itera
     p = rows.shape[1]
 
     def gathered(x, y, fold):
-        for i in sorted(moving):
-            gaps = squared_gaps(x, centres[i])
-            own = gaps.argmin(1)
-            member = np.eye(len(centres[i]))[own]
-            yield i, np.column_stack([member.T @ x, member.sum(0), member.T @ gaps[np.arange(len(x)), own]]).ravel()
+        some = sorted(moving)
+        places = list(zip(some, np.cumsum([0] + [len(centres[i]) for i in some[:-1]])))
+        for a in range(0, len(x), SCAN_ROWS):
+            part = x[a : a + SCAN_ROWS]
+            gaps = squared_gaps(np.concatenate([centres[i] for i in some]), part)  # one product for all models
+            member = np.empty(gaps.shape)
+            for i, at in places:
+                near = gaps[at : at + len(centres[i])]
+                np.equal(near, near.min(0), out=member[at : at + len(centres[i])])
+            sums = np.column_stack([member @ part, member.sum(1)])
+            for i, at in places:
+                own = slice(at, at + len(centres[i]))
+                if sums[own, p].sum() != len(part):  # a row that is as near to two: the first has it
+                    first = np.eye(len(centres[i]))[gaps[own].argmin(0)].T
+                    sums[own] = np.column_stack([first @ part, first.sum(1)])
+                yield i, sums[own].ravel()
 
     for _ in range(iterations):
         found = collected_sums(blocks, gathered)
         for i in sorted(moving):
-            sums = found[i].reshape(-1, p + 2)
+            sums = found[i].reshape(-1, p + 1)
             filled = sums[:, p] > 0
             new = np.where(filled[:, None], sums[:, :p] / np.maximum(sums[:, p : p + 1], 1), centres[i])
             if np.abs(new - centres[i]).max() < 1e-9:
@@ -67,7 +81,8 @@ def lloyd(df: DataFrame, ks: list[int], restarts: int = 10, seed: int = 1, itera
 
     def cost(x, y, fold):
         for i, c in centres.items():
-            yield i, np.array([((x - c[squared_gaps(x, c).argmin(1)]) ** 2).sum()])
+            gap = x - c[squared_gaps(x, c).argmin(1)]
+            yield i, np.array([np.einsum("ij,ij->", gap, gap)])
 
     costs = collected_sums(blocks, cost)
     best = {}
