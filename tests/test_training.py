@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wattweave.operators import boosting, clustering, estimators, grids
 from wattweave.operators.blocks import collected_sums, to_blocks
+from wattweave.operators.knn import squared_gaps
 from wattweave.operators.ranking import stratified_folds
 
 
@@ -52,6 +53,17 @@ def test_slopes_are_those_of_the_loss(family):
         assert slope[i] == pytest.approx((loss(w + step) - loss(w - step)) / 2e-5, rel=1e-4, abs=1e-4)
 
 
+@pytest.mark.parametrize("family", [grids.Perceptron(4), grids.PairwiseMachine(3.0)])
+def test_models_side_by_side_have_the_slopes_of_each(family):
+    rng = np.random.default_rng(2)
+    x, y, k, centre, scale = rng.normal(size=(50, 4)) * 3 + 2, rng.integers(0, 3, 50), 3, rng.normal(size=4), rng.uniform(0.5, 2, 4)
+    ws, learn = rng.normal(size=(2, family.size(4, k))) * 0.3, rng.random((50, 2)) < 0.7
+    got = family.gradients(np.stack([family.moved(w, centre, scale, k) for w in ws]), x, y, k, learn.astype(float))
+    for w, slope, of in zip(ws, got, learn.T):
+        want = family.gradient(w, (x[of] - centre) / scale, y[of], k)
+        assert np.allclose(family.moved_back(slope, centre, scale, k), want, rtol=1e-9, atol=1e-9)
+
+
 @pytest.mark.parametrize("settings", [{f"size={h}": grids.Perceptron(h) for h in (2, 5)}, {f"C={c}": grids.PairwiseMachine(c) for c in (0.1, 17)}])
 def test_grid_learns_and_reports_every_setting(classed, settings):
     _, df = classed
@@ -121,6 +133,25 @@ def test_one_scan_an_iteration_gives_plain_k_means(classed):
             assert np.allclose(centres[c], x[own == c].mean(0), atol=1e-6)  # no centre would move
 
 
+def test_one_product_serves_all_models_and_ties_go_to_the_first(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(v)]) for i, v in enumerate((0, 1, 2, 10, 11, 12))], "id int, features array<double>")
+    products = []
+
+    def sums(blocks, work):
+        done = collected_sums(blocks, work)
+        seen = []
+        monkeypatch.setattr(clustering, "squared_gaps", lambda a, b: seen.append(1) or squared_gaps(a, b))
+        list(work(np.array([[1.0], [6.0]]), None, None))
+        monkeypatch.setattr(clustering, "squared_gaps", squared_gaps)
+        products.append(len(seen))
+        return done
+
+    monkeypatch.setattr(clustering, "collected_sums", sums)
+    best = clustering.lloyd(df, [1, 2], restarts=3)
+    assert best[2][0] == 4.0 and sorted(best[2][1].ravel()) == [1.0, 11.0]
+    assert set(products[:-1]) == {1} and products[-1] == 6  # the last one takes the costs
+
+
 def test_more_clusters_than_rows(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, [1.0])], "id int, features array<double>")
     assert clustering.lloyd(df, [5], restarts=2)[5][0] == 0.0

@@ -17,6 +17,8 @@ from wattweave.operators.models import class_labels, labelled
 from wattweave.operators.ranking import stratified_folds
 
 WHOLE = -1
+#: Rows whose layers are held at once.
+SCAN_ROWS = 512
 FIRST_STEP, LEAST_STEP, MOST_STEP = 0.05, 1e-7, 1.0
 
 
@@ -43,11 +45,39 @@ class Perceptron:
         out = np.exp(out - out.max(1, keepdims=True))
         return two, inner, out / out.sum(1, keepdims=True)
 
+    def gradients(self, ws: np.ndarray, x: np.ndarray, y: np.ndarray, classes: int, learn: np.ndarray) -> np.ndarray:
+        """The slopes of several models at once; learn has a column per model, 1 for the rows that it learns from."""
+        if len(x) > SCAN_ROWS:
+            some = (slice(a, a + SCAN_ROWS) for a in range(0, len(x), SCAN_ROWS))
+            return sum(self.gradients(ws, x[part], y[part], classes, learn[part]) for part in some)
+        n, p, m = len(x), x.shape[1], len(ws)
+        layers = [self._layers(w, p, classes) for w in ws]
+        one, two = np.concatenate([a for a, _ in layers], axis=1), np.stack([b for _, b in layers])
+        inner = one[:-1].T @ x.T + one[-1][:, None]  # rows last: sums over units and classes run along them
+        inner = (1.0 / (1.0 + np.exp(-np.clip(inner, -500, 500)))).reshape(m, self.hidden, n)
+        share = two[:, :-1].transpose(0, 2, 1) @ inner + two[:, -1][:, :, None]
+        share = np.exp(share - share.max(1, keepdims=True))
+        share /= share.sum(1, keepdims=True)
+        share[:, y, np.arange(n)] -= 1.0
+        share *= learn.T[:, None]
+        back = ((two[:, :-1] @ share) * inner * (1.0 - inner)).reshape(-1, n)
+        first = np.column_stack([back @ x, back.sum(1)]).reshape(m, self.hidden, p + 1).transpose(0, 2, 1)
+        second = np.concatenate([inner @ share.transpose(0, 2, 1), share.sum(2)[:, None]], axis=1)
+        return np.hstack([first.reshape(m, -1), second.reshape(m, -1)])
+
+    def moved(self, w: np.ndarray, centre: np.ndarray, scale: np.ndarray, classes: int) -> np.ndarray:
+        """The weights that give on x what w gives on (x - centre) / scale."""
+        one, two = self._layers(w, len(centre), classes)
+        first = one[:-1] / scale[:, None]
+        return np.concatenate([first.ravel(), one[-1] - centre @ first, two.ravel()])
+
+    def moved_back(self, slope: np.ndarray, centre: np.ndarray, scale: np.ndarray, classes: int) -> np.ndarray:
+        """The slope in w, given the one in moved(w)."""
+        one, two = self._layers(slope, len(centre), classes)
+        return np.concatenate([((one[:-1] - centre[:, None] * one[-1]) / scale[:, None]).ravel(), one[-1], two.ravel()])
+
     def gradient(self, w: np.ndarray, x: np.ndarray, y: np.ndarray, classes: int) -> np.ndarray:
-        two, inner, share = self._forward(w, x, classes)
-        share[np.arange(len(y)), y] -= 1.0
-        back = (share @ two[:-1].T) * inner * (1.0 - inner)
-        return np.concatenate([(x.T @ back).ravel(), back.sum(0), (inner.T @ share).ravel(), share.sum(0)])
+        return self.gradients(w[None], x, y, classes, np.ones((len(x), 1)))[0]
 
     def penalty(self, w: np.ndarray, p: int, classes: int) -> np.ndarray:
         return np.zeros(len(w))
@@ -72,11 +102,36 @@ class PairwiseMachine:
     def pairs(classes: int) -> np.ndarray:
         return np.array(list(itertools.combinations(range(classes), 2)), int).reshape(-1, 2)
 
+    def gradients(self, ws: np.ndarray, x: np.ndarray, y: np.ndarray, classes: int, learn: np.ndarray) -> np.ndarray:
+        """The slopes of several models at once; learn has a column per model, 1 for the rows that it learns from.
+
+        Rows of a class meet only the machines of that class: the others have no slope from them.
+        """
+        p, pairs = x.shape[1], self.pairs(classes)
+        ws = ws.reshape(len(ws), -1, p + 1)
+        out = np.zeros(ws.shape)
+        for c in np.unique(y):
+            own = np.flatnonzero((pairs == c).any(1))
+            some, w = x[y == c], ws[:, own].reshape(-1, p + 1)
+            side = np.tile(np.where(pairs[own, 0] == c, 1.0, -1.0), len(ws))
+            pull = np.maximum(0.0, 1.0 - (some @ w[:, :-1].T + w[:, -1]) * side) * (side * (-2.0 * self.cost))
+            pull *= np.repeat(learn[y == c], len(own), axis=1)
+            out[:, own] += np.column_stack([pull.T @ some, pull.sum(0)]).reshape(len(ws), len(own), p + 1)
+        return out.reshape(len(ws), -1)
+
+    def moved(self, w: np.ndarray, centre: np.ndarray, scale: np.ndarray, classes: int) -> np.ndarray:
+        """The weights that give on x what w gives on (x - centre) / scale."""
+        w = w.reshape(-1, len(centre) + 1)
+        first = w[:, :-1] / scale
+        return np.column_stack([first, w[:, -1] - first @ centre]).ravel()
+
+    def moved_back(self, slope: np.ndarray, centre: np.ndarray, scale: np.ndarray, classes: int) -> np.ndarray:
+        """The slope in w, given the one in moved(w)."""
+        slope = slope.reshape(-1, len(centre) + 1)
+        return np.column_stack([(slope[:, :-1] - slope[:, -1:] * centre) / scale, slope[:, -1]]).ravel()
+
     def gradient(self, w: np.ndarray, x: np.ndarray, y: np.ndarray, classes: int) -> np.ndarray:
-        w, pairs = w.reshape(-1, x.shape[1] + 1), self.pairs(classes)
-        side = (y[:, None] == pairs[:, 0]).astype(float) - (y[:, None] == pairs[:, 1])
-        pull = side * np.maximum(0.0, 1.0 - side * (x @ w[:, :-1].T + w[:, -1])) * (-2.0 * self.cost)
-        return np.column_stack([pull.T @ x, pull.sum(0)]).ravel()
+        return self.gradients(w[None], x, y, classes, np.ones((len(x), 1)))[0]
 
     def penalty(self, w: np.ndarray, p: int, classes: int) -> np.ndarray:
         out = w.reshape(-1, p + 1).copy()
@@ -177,20 +232,24 @@ def tune(df: DataFrame, label: str, key: str, settings: dict[str, Perceptron | P
     weights = {slot: families[s].start(p, k, np.random.default_rng(seed + s)) for (_, s), slot in slots.items()}
     movers = {slot: SignSteps(len(w)) for slot, w in weights.items()}
 
+    middle = scalers[WHOLE][0]
+    spaces = {f: (centre - middle, scale) for f, (centre, scale) in scalers.items()}
+
     def slopes(x, y, fold):
-        number = y.astype(int)
-        for f in all_folds:
-            learn = fold != f
-            if learn.any():
-                scaled = (x[learn] - scalers[f][0]) / scalers[f][1]
-                for s, family in enumerate(families):
-                    yield slots[f, s], family.gradient(weights[slots[f, s]], scaled, number[learn], k)
+        x, number = x - middle, y.astype(int)
+        learn = (fold[:, None] != np.array(all_folds)).astype(float)
+        for s, family in enumerate(families):
+            for f, of, slope in zip(all_folds, learn.T, family.gradients(moved[s], x, number, k, learn)):
+                if of.any():
+                    yield slots[f, s], slope
 
     for _ in range(iterations):
+        moved = [np.stack([family.moved(weights[slots[f, s]], *spaces[f], k) for f in all_folds]) for s, family in enumerate(families)]
         found = collected_sums(blocks, slopes)
-        for (_, s), slot in slots.items():
+        for (f, s), slot in slots.items():
             if slot in found:
-                weights[slot] = movers[slot].move(weights[slot], found[slot] + families[s].penalty(weights[slot], p, k))
+                slope = families[s].moved_back(found[slot], *spaces[f], k)
+                weights[slot] = movers[slot].move(weights[slot], slope + families[s].penalty(weights[slot], p, k))
 
     def hits(x, y, fold):
         for f in range(folds):
