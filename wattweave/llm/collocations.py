@@ -186,9 +186,11 @@ def frequent_phrases(texts: DataFrame, least: int = LEAST, longest: int = LONGES
     """(lang, phrase, words, n of every phrase of 1 to `longest` words that occurs `least` times or more; lang, total of
     all words), both stored. A phrase is as frequent as its parts at most, so each length looks only at places where both
     parts of one word less may be frequent, and infrequent phrases are never kept."""
-    words = stored(count_phrases(texts, 1, None, chunk_bytes), "words")
+    # infrequent words count in the totals alone: one row a lang stands for them, without a phrase
+    words = count_phrases(texts, 1, None, chunk_bytes).groupBy("lang", F.when(F.col("n") >= least, F.col("phrase")).alias("phrase"))
+    words = stored(words.agg(F.sum("n").alias("n")), "words")
     totals = stored(words.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
-    levels = [stored(words.where(F.col("n") >= least), "phrases")]
+    levels = [words.where("phrase is not null")]
     for order in range(2, longest + 1):
         may_be = phrase_filter(levels[-1], order - 1)
         if not any(may_be):
