@@ -160,6 +160,15 @@ def test_collocations_of_an_empty_table(spark):
     assert collocations.collocations(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_infrequent_words_are_counted_but_not_stored(spark, monkeypatch):
+    kept, frames = collocations.stored, {}
+    monkeypatch.setattr(collocations, "stored", lambda df, name: frames.setdefault(name, kept(df, name)))
+    df = spark.createDataFrame([("en", "aa aa aa bb cc dd"), ("de", "ee")], "lang string, text string")
+    _, totals = collocations.frequent_phrases(df, least=3, longest=1)
+    assert {tuple(r) for r in frames["words"].collect()} == {("en", "aa", 3), ("en", None, 3), ("de", None, 1)}
+    assert {tuple(r) for r in totals.collect()} == {("en", 6), ("de", 1)}
+
+
 def test_a_filter_that_lets_all_through_changes_nothing(phrases, monkeypatch):
     rows, df = phrases
     monkeypatch.setattr(collocations, "phrase_filter", lambda frequent, order: b"\xff" * (collocations.FILTER_BITS // 8))
