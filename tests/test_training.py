@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wattweave.operators import boosting, clustering, estimators, grids
+from wattweave.operators import boosting, clustering, estimators, forest, grids
 from wattweave.operators.blocks import collected_sums, to_blocks
 from wattweave.operators.knn import squared_gaps
 from wattweave.operators.ranking import stratified_folds
@@ -179,3 +179,82 @@ def test_neighbours_in_cross_validation_report_each_k(classed):
     _, df = classed
     report = {r.setting: r for r in estimators.validate_neighbours(df, "number", "label", "id", ks=(1, 9), folds=3).collect()}
     assert set(report) == {"k=1", "k=9"} and report["k=9"].is_best and 0 < report["k=9"].rmse < report["k=1"].rmse
+
+
+def plain_tree(bins, y, weight, k, tree, node, mtry, depth, seed):
+    """(counts) of a leaf or (predictor, cut, left, right): every cut of every tried predictor, one by one."""
+    own = np.bincount(y, weight, k)
+    best = (0.0, None)
+    if (own > 0).sum() > 1 and (node + 1).bit_length() - 1 < depth:
+        for f in forest.predictors(seed, tree, np.array([node]), bins.shape[1], mtry)[0]:
+            for cut in range(forest.BINS - 1):
+                low = bins[:, f] <= cut
+                sides = [np.bincount(y[s], weight[s], k) for s in (low, ~low)]
+                if all(s.sum() for s in sides):
+                    gain = sum((s**2).sum() / s.sum() for s in sides) - (own**2).sum() / own.sum()
+                    best = max(best, (gain, (f, cut)), key=lambda x: x[0] - 1e-9 * (x is not best))
+    if best[1] is None:
+        return own
+    f, cut = best[1]
+    low = bins[:, f] <= cut
+    left, right = (plain_tree(bins[s], y[s], weight[s], k, tree, 2 * node + side, mtry, depth, seed) for side, s in ((1, low), (2, ~low)))
+    if not isinstance(left, tuple) and not isinstance(right, tuple) and left.argmax() == right.argmax():
+        return left + right
+    return f, cut, left, right
+
+
+@pytest.mark.parametrize("depth", [3, 20])
+def test_trees_equal_plain_ones(depth):
+    rng = np.random.default_rng(4)
+    bins, y = rng.integers(0, 32, (300, 6)).astype(np.uint8), rng.integers(0, 4, 300)
+    bins[:, 5] = 7
+    weight = forest.bag(100, 3, np.arange(300))
+    assert 0.5 < (weight > 0).mean() < 0.75 and 0.8 < weight.mean() < 1.2
+    bins, y, weight = bins[weight > 0], y[weight > 0], weight[weight > 0]
+    got = forest.grow(bins, y, weight, 4, 3, 0, 2, depth, 100)
+
+    def same(at, want):
+        if not isinstance(want, tuple):
+            assert got.feature[at] == forest.LEAF and got.counts[at].tolist() == want.tolist()
+            return 1
+        assert (got.feature[at], got.cut[at]) == want[:2]
+        return 1 + same(got.left[at], want[2]) + same(got.left[at] + 1, want[3])
+
+    assert same(0, plain_tree(bins, y, weight, 4, 3, 0, 2, depth, 100)) == len(got.feature)
+
+
+def test_forest_is_the_same_wherever_its_parts_are_grown(classed):
+    _, df = classed
+    df = df.unionAll(df.sparkSession.createDataFrame([(1000, "a", 0.0, None)], df.schema)).coalesce(1)
+    found = []
+    for local_rows in (10_000, 12):
+        model = forest.fit_forest(df, "label", mtry=2, trees=7, depth=5, local_rows=local_rows)
+        assert (sum(len(t.feature) for t in model.tops) > 7) == (local_rows == 12)
+        found.append({r["id"]: (r["predicted"], r["probability"]) for r in model.transform(df).collect()})
+    whole, parted = found
+    assert whole == parted and len(whole) == 242
+    assert whole[1000] == (None, None) and whole[999][0] in "abc"
+    assert np.mean([whole[i][0] == "abc"[i % 3] for i in range(240)]) > 0.85
+
+
+def test_forest_has_borders_between_few_values(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 50 == 0], [float(i % 50 == 0), float(i)]) for i in range(1000)], "id long, label string, features array<double>")
+    assert [len(b) for b in forest.split_borders(df, "features")] == [1, 31]
+    rows = forest.fit_forest(df, "label", mtry=2, trees=3).transform(df).collect()
+    assert len(rows) == 1000 and all(r["predicted"] == r["label"] and r["probability"] == 1.0 for r in rows)
+
+
+def test_registered_forest_is_grown_in_parts(spark, monkeypatch):
+    """500 trees of depth 20 at mtry 15, and no tree comes to the driver as MLlib's would."""
+    import __spark_entry__ as entry
+    from wattweave.plans import classify
+
+    asked = []
+
+    def few(train, label, mtry, trees, depth):
+        asked.append((mtry, trees, depth))
+        return forest.fit_forest(train, label, mtry, 5, depth)
+
+    monkeypatch.setattr(classify, "fit_forest", few)
+    rows = entry.queries()["m12_random_forest"](spark, "/root/testdata/sf0.001").collect()
+    assert asked == [(15, 500, 20)] and len(rows) == 145 and all(r["predicted"] in set("0123456789") for r in rows)

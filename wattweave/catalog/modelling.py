@@ -12,7 +12,7 @@ from wattweave.catalog.base import big, q6, qstamp, query, r6, stamp, strict
 from wattweave.functions.vectors import row_zscore
 from wattweave.operators import boosting, clustering, estimators, evaluation, filters, grids, knn, linkage, models, ranking
 from wattweave.operators.discriminant import fit_discriminant
-from wattweave.plans.classify import classify, classify_by_discriminant, hold_out
+from wattweave.plans.classify import classify_by_discriminant, classify_by_forest, hold_out
 from wattweave.sources.shared import materialise
 
 POSITIONS = "SELECT vec_id, label, unnest(embedding) :: DOUBLE AS x, unnest(range(64)) AS pos FROM embeddings"
@@ -158,9 +158,8 @@ def linear_svm(w):
 
 @query("m12_random_forest")
 def random_forest(w):
-    train, test, labels = held_out(w)
-    pipeline = models.random_forest("label", labels, mtry=15)
-    return shown_scores(classify(train, test, "label", pipeline).scored)
+    train, test, _ = held_out(w)
+    return shown_scores(classify_by_forest(train, test, "label", mtry=15).scored)
 
 
 def flagged(w):

@@ -18,7 +18,7 @@ BLOCK_ROWS = 4_096
 TASK_ROWS = 65_536
 BLOCKS = "n long, x binary, y binary, fold binary"
 
-Work = Callable[[np.ndarray, np.ndarray, np.ndarray], Iterable[tuple[int, np.ndarray]]]
+Work = Callable[..., Iterable[tuple[int, np.ndarray]]]
 
 
 def to_blocks(df: DataFrame, features: str = "features", y: Column | None = None, fold: Column | None = None,
@@ -47,12 +47,13 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
             yield np.frombuffer(x).reshape(n, -1), np.frombuffer(y), np.frombuffer(fold, np.int32)
 
 
-def slot_sums(blocks: DataFrame, work: Work) -> DataFrame:
-    """(slot, sums): the vectors that work(x, y, fold) gives of each block, added up by slot, first in each task."""
+def slot_sums(blocks: DataFrame, work: Work, read: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]] = unpacked) -> DataFrame:
+    """(slot, sums): the vectors that work gives of each block's (x, y, fold), or of what `read` makes of blocks of another
+    form, added up by slot, first in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        for block in unpacked(batches):
+        for block in read(batches):
             for slot, vector in work(*block):
                 total[slot] = total[slot] + vector if slot in total else vector
         for slot, vector in total.items():

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wattweave.operators.discriminant import fit_discriminant
 from wattweave.operators.evaluation import accuracy, confusion
+from wattweave.operators.forest import fit_forest
 from wattweave.operators.models import labelled, predict, with_vector
 from wattweave.operators.ranking import stratified_split
 from wattweave.sources.shared import materialise
@@ -40,3 +41,7 @@ def classify(train: DataFrame, test: DataFrame, label: str, pipeline: Pipeline)
 def classify_by_discriminant(train: DataFrame, test: DataFrame, label: str) -> Outcome:
     model = fit_discriminant(train, label)
     return evaluate(model.transform(test, prediction="predicted"), label)
+
+
+def classify_by_forest(train: DataFrame, test: DataFrame, label: str, mtry: int, trees: int = 500, depth: int = 20) -> Outcome:
+    return evaluate(fit_forest(train, label, mtry, trees, depth).transform(test), label)
