@@ -134,6 +134,36 @@ def test_suffix_dedup_equals_brute_force(docs, placed, options):
     assert sorted_rows(suffix_dedup(docs, **options)) == brute_removal(placed)
 
 
+def test_records_lie_around_their_anchors_and_windows_meet():
+    """Contents have one width, the anchor in one place; the least id of each window is that of a plain dictionary."""
+    import numpy as np
+    from wattweave.llm import suffix_dedup as module
+
+    rng, depth = np.random.default_rng(5), 50
+    common = bytes(rng.integers(97, 123, 90).astype(np.uint8))
+    texts = [bytes(rng.integers(97, 123, 30 + 5 * i).astype(np.uint8)) + common + b"%d" % i for i in range(6)]
+    part = module.Part([(i, 0, t) for i, t in enumerate(texts)], depth)
+    reach = depth - part.first
+    content = part.around()(part.low, part.high, part.at)
+    off, length, ids = part.at - part.low, part.high - part.low + depth, 100 - part.text
+    assert content.shape == (len(part.low), reach + depth)
+    for row, low, o, n in zip(content, part.low, off, length):
+        want = np.zeros(reach + depth, np.uint8)
+        want[reach - o : reach - o + n] = part.data[low : low + n]
+        assert row.tolist() == want.tolist()
+    codec = module.pa.Codec("zstd")
+    assert codec.decompress(module.squeezed(content), content.size).to_pybytes() == content.tobytes()
+    got = module.least_ids(part.digit, off, length, ids, content, depth)
+    windows = {(i, r): part.data[at - i : at - i + depth].tobytes() for r, at in enumerate(part.at) for i in range(reach + 1)
+               if part.low[r] <= at - i <= part.high[r]}
+    least = {}
+    for (i, r), w in windows.items():
+        least[w] = min(least.get(w, module.NO_ID), ids[r])
+    assert len(least) < len(windows)
+    for i, r in np.ndindex(got.shape):
+        assert got[i, r] == (least[windows[i, r]] if (i, r) in windows else module.NO_ID)
+
+
 def test_suffix_dedup_reads_long_texts_in_parts(spark, monkeypatch):
     rng = random.Random(9)
     long = "".join(rng.choice("abc ") for _ in range(30_000))

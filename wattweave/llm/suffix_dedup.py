@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +19,8 @@ FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB
 BITS = 52
 PLACE_BITS = 22
 PART = 1 << 19
+#: Positions hashed and records compared at once: what they take stays in a core's cache.
+HASHED, COMPARED = 1 << 15, 4_000
 HOT = (64, 100_000)
 CHUNK_BYTES = 1_000_000
 PER_OWNER = 800_000
@@ -33,7 +35,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def gram_hash(data: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of the `length` bytes from each position, by doubling; shorter by length - 1."""
+    """A 64-bit hash of the `length` bytes from each position; shorter by length - 1."""
+    out = np.empty(len(data) - length + 1, np.uint64)
+    for a in range(0, len(out), HASHED):
+        out[a : a + HASHED] = doubled_hash(data[a : a + HASHED + length - 1], length)
+    return out
+
+
+def doubled_hash(data: np.ndarray, length: int) -> np.ndarray:
     h, n = data.astype(np.uint64) + np.uint64(1), len(data) - length + 1
     out, done = None, 0
     for bit in range(length.bit_length()):
@@ -89,10 +98,13 @@ class Part:
                 self.digit = h[self.at] >> np.uint64(64 - BITS)
         self.text = np.array([p[0] for p in pieces], np.int64)[np.searchsorted(self.starts, self.low, "right") - 1]
 
+    def digits(self):
+        """Sorted distinct first digits, and each run's number in that list."""
+        return np.unique(self.digit, return_inverse=True)
+
     def distinct(self):
-        """Sorted distinct first digits, which of them are in several texts, which in runs that differ in their ends,
-        and each run's number in that list."""
-        values, inverse = np.unique(self.digit, return_inverse=True)
+        """Sorted distinct first digits, which of them are in several texts, and which in runs that differ in their ends."""
+        values, inverse = self.digits()
         least, most = np.full(len(values), NO_ID), np.full(len(values), -1)
         np.minimum.at(least, inverse, self.text)
         np.maximum.at(most, inverse, self.text)
@@ -102,7 +114,22 @@ class Part:
         one, other = np.full(len(values), NO_ID), np.full(len(values), -1)
         np.minimum.at(one, inverse, context)
         np.maximum.at(other, inverse, context)
-        return values, least != most, one != other, inverse
+        return values, least != most, one != other
+
+    def around(self):
+        """A function of (low, high, at) of records: records × (reach + depth), the record's bytes with the anchor in the
+        place `reach`, and zeros beside them."""
+        reach = self.depth - self.first
+        width = reach + self.depth
+        padded = np.concatenate([np.zeros(reach, np.uint8), self.data, np.zeros(self.depth, np.uint8)])
+        views, column = np.lib.stride_tricks.sliding_window_view(padded, width), np.arange(width, dtype=np.uint8)
+
+        def cut(low, high, at):
+            begin = (reach - (at - low)).astype(np.uint8)[:, None]
+            end = (reach - (at - high) + self.depth).astype(np.uint8)[:, None]
+            return views[at] * ((column >= begin) & (column < end))
+
+        return cut
 
     def records(self, repeated: np.ndarray, hot: np.ndarray):
         """Runs whose first digit is repeated; where it is hot, single windows instead, to be dealt by their own hash.
@@ -144,32 +171,36 @@ def ids_of(rows: list[tuple]) -> np.ndarray:
     return np.array([NO_ID if r[0] is None else r[0] for r in rows], np.int64)
 
 
+def squeezed(data: np.ndarray) -> bytes:
+    return pa.Codec("zstd", compression_level=1).compress(np.ascontiguousarray(data), asbytes=True)
+
+
 def least_ids(digit, off, length, ids, content, depth):
-    """For each record and each place of the anchor in a window, the least id of all records with that window.
+    """For each place of the anchor in a window and each record, the least id of all records with that window.
 
-    Records have the anchor at `off` of `length` bytes of content. Windows are compared digit by digit: first the
-    anchor's, then the 64-bit hash of all their bytes. Returns (records, places) of ids, NO_ID where there is no window.
+    Records have the anchor at `off` of `length` bytes, and these in `content` as Part.around gives them. Windows are
+    compared digit by digit: first the anchor's, then the 64-bit hash of all their bytes. Returns (places, records) of
+    ids, NO_ID where there is no window.
     """
     reach, n = depth - ((depth + 1) // 2 - 1), len(digit)
     width = reach + depth
-    grid = np.zeros((n, width + 1), np.uint64)
-    row = np.repeat(np.arange(n), length)
-    begin = np.repeat(np.cumsum(length) - length, length)
-    column = np.arange(len(content)) - begin + np.repeat(reach - off, length)
     factor = mixed(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(FACTORS[3])) | np.uint64(1)
-    grid[row, column + 1] = (content.astype(np.uint64) + np.uint64(1)) * factor[column]
-    np.cumsum(grid, axis=1, out=grid)
-    out = np.full((n, reach + 1), NO_ID)
+    grid = np.zeros((width + 1, n), np.uint64)
+    np.add(content.T, np.uint64(1), out=grid[1:])
+    grid[1:] *= factor[:, None]
+    np.cumsum(grid, axis=0, out=grid)
+    seed = digit * np.uint64(FACTORS[4])
+    out = np.full((reach + 1, n), NO_ID)
     for o in range(reach + 1):
         has = np.flatnonzero((off >= o) & (o >= off + depth - length))
         if not len(has):
             continue
-        window = grid[has, reach - o + depth] - grid[has, reach - o]
-        key = mixed(mixed(window) + digit[has] * np.uint64(FACTORS[4]))
-        order = np.argsort(key, kind="stable")
-        borders = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] + np.uint64(1)))
-        least = np.minimum.reduceat(ids[has][order], borders)
-        out[has[order], o] = np.repeat(least, np.diff(np.append(borders, len(order))))
+        key = mixed(mixed((grid[reach - o + depth] - grid[reach - o])[has]) + seed[has])
+        order = np.argsort(key)
+        key, order = key[order], has[order]
+        borders = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        least = np.minimum.reduceat(ids[order], borders)
+        out[o, order] = np.repeat(least, np.diff(np.append(borders, len(order))))
     return out
 
 
@@ -181,23 +212,27 @@ def compare(messages, depth: int):
         return
     digit = np.concatenate([m[1] for m in got])
     off, length = (np.concatenate([m[k] for m in got]).astype(np.int64) for k in (2, 3))
-    ids, content = np.concatenate([m[4] for m in got]), np.frombuffer(b"".join(zlib.decompress(m[5]) for m in got), np.uint8)
-    ends = np.cumsum(length)
+    ids = np.concatenate([m[4] for m in got])
     message = np.repeat(np.arange(len(got)), [len(m[1]) for m in got])
     number = np.concatenate([m[6] for m in got])
-    order = np.argsort(digit, kind="stable")
+    content = np.empty((len(digit), 2 * depth - ((depth + 1) // 2 - 1)), np.uint8)
+    codec, at = pa.Codec("zstd"), 0
+    for m in got:
+        some = content[at : at + len(m[1])]
+        some[:] = np.frombuffer(codec.decompress(m[5], some.size), np.uint8).reshape(some.shape)
+        at += len(some)
+    order = np.argsort(digit)
     borders = np.flatnonzero(np.diff(digit[order], prepend=digit[order[0]] + np.uint64(1)))
     sizes = np.diff(np.append(borders, len(order)))
     order = order[np.repeat(sizes, sizes) > 1]
     found = []
-    for some in whole_groups(order, digit, 10_000):
-        pick = np.repeat(ends[some] - length[some], length[some]) + np.arange(length[some].sum()) - np.repeat(
-            np.cumsum(length[some]) - length[some], length[some])
-        least = least_ids(digit[some], off[some], length[some], ids[some], content[pick], depth)
-        better = least < ids[some][:, None]
-        rows, places = np.nonzero(better)
-        if not len(rows):
+    for some in whole_groups(order, digit, COMPARED):
+        least = least_ids(digit[some], off[some], length[some], ids[some], content[some], depth)
+        some_better = np.flatnonzero((least < ids[some]).any(0))
+        if not len(some_better):
             continue
+        some, least = some[some_better], np.ascontiguousarray(least[:, some_better].T)
+        rows, places = np.nonzero(least < ids[some][:, None])
         values = least[rows, places]
         new = np.flatnonzero(np.concatenate([[True], (np.diff(rows) != 0) | (np.diff(places) != 1) | (np.diff(values) != 0)]))
         last = np.concatenate([new[1:], [len(rows)]]) - 1
@@ -248,7 +283,7 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, hot: tuple[int, int] = HOT, p
 
     def send(part, row, rows):
         for sub, p in enumerate(parts_of(rows, depth)):
-            values, several, unlike, _ = p.distinct()
+            values, several, unlike = p.distinct()
             yield from to_owners(values, several, (part, row, sub), BITS, owner_bits, unlike)
 
     def with_answers(rows, answers):
@@ -256,7 +291,7 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, hot: tuple[int, int] = HOT, p
         for answer in answers:
             by_sub.setdefault(answer[0], []).append(answer[1:])
         for sub, p in enumerate(parts_of(rows, depth)):
-            values, _, _, inverse = p.distinct()
+            values, inverse = p.digits()
             own = by_sub.get(sub, [])
             repeated, often = (answered(values, own, BITS, owner_bits, k)[inverse] for k in (3, 4))
             yield sub, p, p.records(repeated, often)
@@ -270,13 +305,12 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, hot: tuple[int, int] = HOT, p
             owner = (digit[first] >> np.uint64(BITS - owner_bits)).astype(np.int64)
             order = np.argsort(owner, kind="stable")
             borders = np.flatnonzero(np.diff(owner[order], prepend=-1))
+            content = p.around()
             for a, b in zip(borders, [*borders[1:], len(order)]):
                 some = order[a:b]
                 f = first[some]
-                length = high[f] - low[f] + depth
-                pick = np.repeat(low[f], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-                yield int(owner[some[0]]), ((part, row, sub), digit[f], (at - low)[f].astype(np.uint8), length.astype(np.uint8),
-                                            least[some], zlib.compress(p.data[pick].tobytes(), 1), some.astype(np.int32))
+                yield int(owner[some[0]]), ((part, row, sub), digit[f], (at - low)[f].astype(np.uint8), (high[f] - low[f] + depth).astype(np.uint8),
+                                            least[some], squeezed(content(low[f], high[f], at[f])), some.astype(np.int32))
 
     def last(part, row, rows, answers):
         ids = ids_of(rows)
@@ -287,18 +321,20 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, hot: tuple[int, int] = HOT, p
             least = np.full(int(inverse.max()) + 1 if len(inverse) else 0, NO_ID)
             np.minimum.at(least, inverse, ids[text])
             reach = depth - p.first
-            grid = np.repeat(least[:, None], reach + 1, axis=1)
+            grid = np.tile(least, (reach + 1, 1))
             for _, record, a, b, value in (s for s in seconds if s[0] == sub):
                 n = b.astype(np.int64) - a + 1
                 column = np.repeat(a.astype(np.int64), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                grid[np.repeat(record, n), column] = np.repeat(value, n)
-            delta = np.zeros(len(p.data) + 1, np.int64)
+                grid[column, np.repeat(record, n)] = np.repeat(value, n)
+            own = ids[text]
+            some = np.flatnonzero(grid.min(0)[inverse] < own)
+            low, high, at, own, inverse = low[some], high[some], at[some], own[some], inverse[some]
+            starts = np.zeros(len(p.data) + depth, bool)  # of windows to be removed, after `depth` places
             for o in range(reach + 1):
                 begin = at - o
-                covered = (begin >= low) & (begin <= high) & (grid[inverse, o] < ids[text])
-                np.add.at(delta, begin[covered], 1)
-                np.add.at(delta, begin[covered] + depth, -1)
-            removed = np.cumsum(delta[:-1]) > 0
+                starts[depth + begin[(begin >= low) & (begin <= high) & (grid[o, inverse] < own)]] = True
+            begun = np.cumsum(starts)
+            removed = begun[depth:] > begun[: len(p.data)]
             for (number, offset, data), a in zip(p.pieces, p.starts):
                 mask = masks.get(number)
                 if mask is None:
