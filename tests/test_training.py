@@ -237,6 +237,13 @@ def test_forest_is_the_same_wherever_its_parts_are_grown(classed):
     assert np.mean([whole[i][0] == "abc"[i % 3] for i in range(240)]) > 0.85
 
 
+def test_seeds_share_no_bag_and_no_choice_of_predictors():
+    rows, nodes = np.arange(200), np.arange(50)
+    bags = {forest.bag(seed, tree, rows).tobytes() for seed in range(4) for tree in range(4)}
+    choices = {forest.predictors(seed, tree, nodes, 20, 5).tobytes() for seed in range(4) for tree in range(4)}
+    assert len(bags) == len(choices) == 16
+
+
 def test_forest_has_borders_between_few_values(spark):
     df = spark.createDataFrame([(i, "ab"[i % 50 == 0], [float(i % 50 == 0), float(i)]) for i in range(1000)], "id long, label string, features array<double>")
     assert [len(b) for b in forest.split_borders(df, "features")] == [1, 31]

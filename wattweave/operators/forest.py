@@ -44,8 +44,8 @@ SPLITS = "slot long, feature int, cut int, counts array<double>, below array<dou
 
 
 def hashed(seed: int, *parts) -> np.ndarray:
-    h = np.full(1, seed, np.uint64)
-    for part in parts:
+    h = np.zeros(1, np.uint64)
+    for part in (seed, *parts):
         h = (h ^ np.asarray(part).astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
