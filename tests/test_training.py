@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wattweave.operators import boosting, clustering, estimators, forest, grids
+from wattweave.operators import boosting, clustering, estimators, forest, grids, models
 from wattweave.operators.blocks import collected_sums, to_blocks
 from wattweave.operators.knn import squared_gaps
 from wattweave.operators.ranking import stratified_folds
@@ -234,7 +234,19 @@ def test_forest_is_the_same_wherever_its_parts_are_grown(classed):
     whole, parted = found
     assert whole == parted and len(whole) == 242
     assert whole[1000] == (None, None) and whole[999][0] in "abc"
-    assert np.mean([whole[i][0] == "abc"[i % 3] for i in range(240)]) > 0.85
+
+
+def test_forest_votes_like_that_of_mllib(classed):
+    """Other draws, the same rules: most rows get the class and about the share of votes that MLlib's forest gives them."""
+    rows, df = classed
+    df = df.where("label is not null").coalesce(1)
+    fitted = models.random_forest("label", ["a", "b", "c"], mtry=2, trees=100, depth=5).fit(models.with_vector(df))
+    other = {r["id"]: (r["predicted"], max(r["probability"].toArray())) for r in models.predict(fitted, models.with_vector(df)).collect()}
+    own = {r["id"]: (r["predicted"], r["probability"]) for r in forest.fit_forest(df, "label", mtry=2, trees=100, depth=5).transform(df).collect()}
+    assert np.mean([own[i][0] == other[i][0] for i in other]) > 0.9
+    assert np.mean([abs(own[i][1] - other[i][1]) for i in other]) < 0.05
+    right = [np.mean([of[r[0]][0] == r[1] for r in rows[:240]]) for of in (own, other)]
+    assert abs(right[0] - right[1]) < 0.05 and min(right) > 0.8, right
 
 
 def test_seeds_share_no_bag_and_no_choice_of_predictors():
