@@ -173,6 +173,46 @@ def test_suffix_dedup_reads_long_texts_in_parts(spark, monkeypatch):
     assert sorted_rows(suffix_dedup(df)) == brute_removal(rows)
 
 
+def test_suffix_dedup_messages_stay_small_and_alike_with_many_owners(spark, monkeypatch):
+    """The bytes sent for repeated runs are about the same for 128 owners as for two, and no owner gets far more."""
+    import pickle
+    from wattweave.llm import suffix_dedup as module
+
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(3_000)]
+    once = [" ".join(rng.choice(vocabulary) for _ in range(600)) for _ in range(150)]
+    rows = [(i, t + (" x" if i % 2 else "")) for i, t in enumerate(once + once)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    dealt = []
+    monkeypatch.setattr(module, "modest", lambda rdd, f=module.modest: dealt.append(rdd) or f(rdd))
+    results = [sorted_rows(module.suffix_dedup(df, per_owner=n)) for n in (10**9, 1_000)]
+    assert results[0] == results[1] and sum(r[2] for r in results[0]) >= sum(len(t) for t in once)
+    few, many = (dict(rdd.map(lambda m: (m[0], len(pickle.dumps(m, 5)))).reduceByKey(lambda a, b: a + b).collect()) for rdd in dealt)
+    assert len(few) == 2 and len(many) == 128
+    assert sum(many.values()) < 1.2 * sum(few.values())
+    assert max(many.values()) < 2 * sum(many.values()) / 128
+
+
+def test_integers_and_records_come_back_from_their_bytes():
+    import numpy as np
+    from wattweave.llm import homes, suffix_dedup as module
+
+    for values in ([], [0, 0], [5, -7, module.NO_ID, 3, -2**62], list(range(300, 0, -1))):
+        assert homes.unpacked(homes.packed(np.array(values, np.int64)), len(values)).tolist() == values
+    rng, depth = np.random.default_rng(3), 50
+    part = module.Part([(0, 0, bytes(rng.integers(0, 256, 3_000).astype(np.uint8))), (1, 0, b"a" * 60)], depth)
+    whole = part.around()(part.low, part.high, part.at)
+    reach = depth - part.first
+    content = np.concatenate([whole[:, :reach], whole[:, reach + part.first :]], axis=1)
+    off, length, ids = (part.at - part.low).astype(np.uint8), (part.high - part.low + depth).astype(np.uint8), part.text.astype(np.int64)
+    for bits in (1, 8, 12):
+        for owner in np.unique(module.owners_of(part.key, bits)).tolist():
+            some = module.owners_of(part.key, bits) == owner
+            sent = part.key[some], off[some], length[some], ids[some], content[some]
+            message = module.written(*sent, depth, bits)
+            assert all((a == b).all() for a, b in zip(sent, module.read(message, int(some.sum()), owner, depth, bits)))
+
+
 def brute_similar(rows, least=0.8):
     sets = {}
     for k, (_, t) in enumerate(rows):

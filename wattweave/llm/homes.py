@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import RDD
 from pyspark.sql import DataFrame
 
@@ -23,18 +24,18 @@ COUNT = -1
 class Homes:
     """The rows of a frame as tuples. `size` gives a row's bytes; a chunk has about CHUNK_BYTES, or one larger row."""
 
-    def __init__(self, df: DataFrame, size: Callable[[tuple], int], chunk_bytes: int = CHUNK_BYTES):
-        self.rdd, self.size, self.chunk_bytes = df.rdd.map(tuple), size, chunk_bytes
+    def __init__(self, df: DataFrame, size: Callable[[tuple], int], chunk_bytes: int = CHUNK_BYTES, chunk_rows: int = CHUNK_ROWS):
+        self.rdd, self.size, self.chunk_bytes, self.chunk_rows = df.rdd.map(tuple), size, chunk_bytes, chunk_rows
         self.parts = self.rdd.getNumPartitions()
 
     def send(self, work: Callable[[int, int, list], Iterator[tuple]], owners: int) -> RDD:
         """Messages (owner, message) that work(partition, row of the chunk's start, rows) makes of each chunk, and from
         each partition its number of rows, which an owner sends back."""
-        size, chunk_bytes = self.size, self.chunk_bytes
+        size, chunk_bytes, chunk_rows = self.size, self.chunk_bytes, self.chunk_rows
 
         def run(part, rows):
             n = 0
-            for rows_of_chunk in chunks(rows, size, chunk_bytes):
+            for rows_of_chunk in chunks(rows, size, chunk_bytes, chunk_rows):
                 yield from work(part, n, rows_of_chunk)
                 n += len(rows_of_chunk)
             yield part % owners, (part, COUNT, n)
@@ -44,7 +45,7 @@ class Homes:
     def receive(self, answers: RDD, work: Callable[[int, int, list, list], Iterator]) -> RDD:
         """Zip answers ((partition, row), value) with the rows: work(partition, row of the chunk's start, rows, values)
         for each chunk. Answers are addressed to the first row of a chunk; ((partition, COUNT), rows) must be there."""
-        size, chunk_bytes = self.size, self.chunk_bytes
+        size, chunk_bytes, chunk_rows = self.size, self.chunk_bytes, self.chunk_rows
 
         def in_line(messages):
             count, row, values = 0, -1, []
@@ -73,7 +74,7 @@ class Homes:
                         values.append(got)
                     yield row
 
-            for rows_of_chunk in chunks(rows(), size, chunk_bytes):
+            for rows_of_chunk in chunks(rows(), size, chunk_bytes, chunk_rows):
                 got = [v for some in values for v in some]
                 values.clear()
                 yield from work(part, n, rows_of_chunk, got)
@@ -94,13 +95,13 @@ def modest(rdd: RDD) -> RDD:
     return rdd
 
 
-def chunks(rows, size, most) -> Iterator[list]:
-    """Runs of rows, cut as soon as a run has `most` bytes or CHUNK_ROWS rows; the same rows make the same runs."""
+def chunks(rows, size, most, most_rows=CHUNK_ROWS) -> Iterator[list]:
+    """Runs of rows, cut as soon as a run has `most` bytes or `most_rows` rows; the same rows make the same runs."""
     run, total = [], 0
     for row in rows:
         run.append(row)
         total += size(row)
-        if total >= most or len(run) >= CHUNK_ROWS:
+        if total >= most or len(run) >= most_rows:
             yield run
             run, total = [], 0
     if run:
@@ -143,6 +144,26 @@ def unpack(data: bytes, width: int, n: int) -> np.ndarray:
     return np.packbits(bits, axis=1).view(">u8").reshape(-1).astype(np.uint64)
 
 
+def squeezed(data: np.ndarray) -> bytes:
+    return pa.Codec("zstd", compression_level=1).compress(np.ascontiguousarray(data), asbytes=True)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Integers as their differences: those byte by byte, the lowest bytes of all first, and compressed."""
+    gaps = np.diff(np.asarray(values, np.int64), prepend=np.int64(0))
+    signed = ((gaps << 1) ^ (gaps >> 63)).view(np.uint64)
+    width = (int(signed.max(initial=0)).bit_length() + 7) // 8
+    return bytes([width]) + (squeezed(signed.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T) if width else b"")
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    out, width = np.zeros((n, 8), np.uint8), data[0]
+    if width:
+        out[:, :width] = np.frombuffer(pa.Codec("zstd").decompress(data[1:], n * width), np.uint8).reshape(width, n).T
+    signed = out.view("<u8").reshape(-1)
+    return np.cumsum((signed >> np.uint64(1)).astype(np.int64) ^ -(signed & np.uint64(1)).astype(np.int64))
+
+
 def flags(bits: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
@@ -152,21 +173,21 @@ def unflags(data: bytes, n: int) -> np.ndarray:
 
 
 def to_owners(values: np.ndarray, several: np.ndarray, place: tuple, bits: int, owner_bits: int,
-              unlike: np.ndarray | None = None) -> Iterator[tuple]:
+              met: tuple[np.ndarray, ...] = ()) -> Iterator[tuple]:
     """Messages (owner, (place, code, flags)) of sorted distinct integers below 2**bits; the owner is the top bits.
-    `several` marks values that the sender alone has met in more than one text, `unlike` those in unlike contexts."""
+    `several` marks values that the sender alone has met in more than one text; `met` says in how many of its parts it
+    has met each value, and in how many of them in unlike contexts."""
     shift = bits - owner_bits
     borders = np.flatnonzero(np.diff((values >> np.uint64(shift)).astype(np.int64), prepend=-1))
     for a, b in zip(borders, [*borders[1:], len(values)]):
         owner = int(values[a]) >> shift
-        more = () if unlike is None else (flags(unlike[a:b]),)
-        yield owner, (place, rice_encode(values[a:b], owner << shift, shift), flags(several[a:b]), *more)
+        yield owner, (place, rice_encode(values[a:b], owner << shift, shift), flags(several[a:b]), *(packed(m[a:b]) for m in met))
 
 
 def found_twice(messages: RDD, owners: int, bits: int, hot: tuple[int, int] | None = None) -> RDD:
     """What owners answer: ((partition, row), (owner, place, n, flags)) with a bit for each value that was sent in
-    several messages or marked; with `hot`, further bits for values that came as `unlike` in hot[0] messages or more,
-    or in hot[1] messages or more."""
+    several messages or marked; with `hot`, further bits for values met in unlike contexts in hot[0] parts or more, or
+    in hot[1] parts or more."""
     owner_bits = owners.bit_length() - 1
 
     def decide(got):
@@ -183,8 +204,9 @@ def found_twice(messages: RDD, owners: int, bits: int, hot: tuple[int, int] | No
             twice = counts > 1
             twice[inverse[np.concatenate([unflags(m[2], len(v)) for v, m in zip(each, sent)])]] = True
             if hot:
-                unlike = np.concatenate([unflags(m[3], len(v)) for v, m in zip(each, sent)])
-                often = (np.bincount(inverse[unlike], minlength=len(values)) >= hot[0]) | (counts >= hot[1])
+                parts, unlike = (np.concatenate([unpacked(m[k], len(v)) for v, m in zip(each, sent)]) for k in (3, 4))
+                twice |= np.bincount(inverse, parts, len(values)) > 1
+                often = (np.bincount(inverse, unlike, len(values)) >= hot[0]) | (np.bincount(inverse, parts, len(values)) >= hot[1])
             at = 0
             for v, (place, *_) in zip(each, sent):
                 own = inverse[at : at + len(v)]

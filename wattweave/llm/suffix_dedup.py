@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattweave.llm.common import id_and_text, stored, task
-from wattweave.llm.homes import COUNT, Homes, answered, found_twice, modest, to_owners
+from wattweave.llm.homes import (CHUNK_ROWS, COUNT, Homes, answered, found_twice, modest, packed, squeezed, to_owners,
+                                 unpacked)
 
 #: The multipliers of the rolling hashes, odd and without structure.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -22,8 +23,10 @@ PART = 1 << 19
 #: Positions hashed and records compared at once: what they take stays in a core's cache.
 HASHED, COMPARED = 1 << 15, 4_000
 HOT = (64, 100_000)
-CHUNK_BYTES = 1_000_000
-PER_OWNER = 800_000
+#: Bytes whose digits travel together, and records that do: an owner's message then stays large when there are many owners.
+CHUNK_BYTES = 16_000_000
+RECORDS = 400_000
+PER_OWNER = 3_000_000
 NO_ID = np.iinfo(np.int64).max
 ANSWERS = "part long, at long, kind int, value binary"
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -75,12 +78,12 @@ class Part:
     def __init__(self, pieces: list[tuple[int, int, bytes]], depth: int):
         """pieces: (text's number in the chunk, offset in the text, bytes)."""
         self.depth, self.first = depth, (depth + 1) // 2 - 1
-        self.pieces = pieces
+        self.pieces = [(number, offset, len(data)) for number, offset, data in pieces]
         lengths = np.array([len(p[2]) for p in pieces], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(lengths)])
         self.data = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
-        self.at = self.low = self.high = np.zeros(0, np.int64)
-        self.digit = np.zeros(0, np.uint64)
+        self.at = self.low = self.high = np.zeros(0, np.int32)
+        self.key = np.zeros(0, np.uint64)
         if len(self.data) >= depth:
             h = gram_hash(self.data, self.first)
             place = np.uint64((1 << PLACE_BITS) - 1)
@@ -94,9 +97,13 @@ class Part:
                 anchor = anchor[start]
                 cut = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(start) != 1)) + 1
                 begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(start)]]) - 1
-                self.at, self.low, self.high = anchor[begin], start[begin], start[end]
-                self.digit = h[self.at] >> np.uint64(64 - BITS)
-        self.text = np.array([p[0] for p in pieces], np.int64)[np.searchsorted(self.starts, self.low, "right") - 1]
+                self.at, self.low, self.high = (x.astype(np.int32) for x in (anchor[begin], start[begin], start[end]))
+                self.key = mixed(h[self.at])  # mixed again: anchors have small hashes, and owners are to be alike
+        self.text = np.array([p[0] for p in pieces], np.int32)[np.searchsorted(self.starts, self.low, "right") - 1]
+
+    @property
+    def digit(self):
+        return self.key >> np.uint64(64 - BITS)
 
     def digits(self):
         """Sorted distinct first digits, and each run's number in that list."""
@@ -108,7 +115,7 @@ class Part:
         least, most = np.full(len(values), NO_ID), np.full(len(values), -1)
         np.minimum.at(least, inverse, self.text)
         np.maximum.at(most, inverse, self.text)
-        context = self.at - self.low + 256 * (self.high - self.low)
+        context = (self.at - self.low + 256 * (self.high - self.low)).astype(np.int64)
         if len(values):
             context += 65_536 * (self.data[self.low] + 256 * self.data[self.high + self.depth - 1].astype(np.int64))
         one, other = np.full(len(values), NO_ID), np.full(len(values), -1)
@@ -134,7 +141,8 @@ class Part:
     def records(self, repeated: np.ndarray, hot: np.ndarray):
         """Runs whose first digit is repeated; where it is hot, single windows instead, to be dealt by their own hash.
 
-        Arrays digit, low, high, at, text, and 'same', a hash of all bytes of the run and the anchor's place in it.
+        Arrays key (the hash whose top bits are the digit), low, high, at, text, and 'same', a hash of all bytes of the
+        run and the anchor's place in it.
         """
         run, single = np.flatnonzero(repeated & ~hot), np.flatnonzero(repeated & hot)
         count = self.high[single] - self.low[single] + 1
@@ -145,10 +153,10 @@ class Part:
         if not len(low):
             return np.zeros(0, np.uint64), low, high, at, text, np.zeros(0, np.uint64)
         window = gram_hash(self.data, self.depth)
-        digit = np.concatenate([self.digit[run], window[low1] >> np.uint64(64 - BITS)])
+        key = np.concatenate([self.key[run], window[low1]])
         same = (window[low] * np.uint64(FACTORS[0]) + window[high] * np.uint64(FACTORS[1])
                 + ((high - low) * 64 + (at - low)).astype(np.uint64) * np.uint64(FACTORS[2]))
-        return digit, low, high, at, text, mixed(same ^ digit)
+        return key, low, high, at, text, mixed(same ^ key)
 
 
 def parts_of(rows: list[tuple], depth: int):
@@ -171,8 +179,68 @@ def ids_of(rows: list[tuple]) -> np.ndarray:
     return np.array([NO_ID if r[0] is None else r[0] for r in rows], np.int64)
 
 
-def squeezed(data: np.ndarray) -> bytes:
-    return pa.Codec("zstd", compression_level=1).compress(np.ascontiguousarray(data), asbytes=True)
+def batches(items, most: int):
+    """Lists of the items of (bytes, item), cut as soon as a list has `most` bytes."""
+    held, size = [], 0
+    for n, item in items:
+        held.append(item)
+        size += n
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def together(found):
+    """Of several parts' distinct(): sorted distinct first digits, which are in several texts of a part, in how many
+    parts each is, and in how many it is in runs that differ in their ends."""
+    values, inverse = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+    several, unlike = (inverse[np.concatenate([f[k] for f in found])] for k in (1, 2))
+    marked = np.zeros(len(values), bool)
+    marked[several] = True
+    return values, marked, np.bincount(inverse, minlength=len(values)), np.bincount(unlike, minlength=len(values))
+
+
+def owners_of(key: np.ndarray, owner_bits: int) -> np.ndarray:
+    return (key >> np.uint64(64 - owner_bits)).astype(np.int64)
+
+
+def dealt(key, same, owner_bits):
+    """Of a part's records: the first of each distinct one, each record's number among these, their owners, and the
+    order in which they are sent: by owner, then by place."""
+    _, first, inverse = np.unique(same, return_index=True, return_inverse=True)
+    owner = owners_of(key[first], owner_bits)
+    return first, inverse, owner, np.lexsort((first, owner))
+
+
+def beside(off, length, depth):
+    """Records × (2 × reach), which of the `reach` bytes before and after the anchor are in the record."""
+    first = (depth + 1) // 2 - 1
+    column = np.arange(depth - first)
+    off, after = off.astype(np.int64)[:, None], (length.astype(np.int64) - off - first)[:, None]
+    return np.concatenate([column >= depth - first - off, column < after], axis=1)
+
+
+def written(key, off, length, ids, content, depth, owner_bits):
+    """Records of one owner as bytes: their keys without the bytes that the owner's number gives, places and lengths,
+    ids, and the bytes beside the anchors, whose own bytes the key stands for."""
+    keys = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 8 - owner_bits // 8]
+    return keys.tobytes(), squeezed(np.stack([off, length])), packed(ids), squeezed(content[beside(off, length, depth)])
+
+
+def read(message, n, owner, depth, owner_bits):
+    """key, off, length, ids and content of n records."""
+    keys, places, ids, content = message
+    codec, width = pa.Codec("zstd"), 8 - owner_bits // 8
+    key = np.zeros((n, 8), np.uint8)
+    key[:, :width] = np.frombuffer(keys, np.uint8).reshape(n, width)
+    key = key.view("<u8").reshape(-1) | np.uint64(owner << (64 - owner_bits))
+    off, length = np.frombuffer(codec.decompress(places, 2 * n), np.uint8).reshape(2, n)
+    has = beside(off, length, depth)
+    out = np.zeros(has.shape, np.uint8)
+    out[has] = np.frombuffer(codec.decompress(content, int(np.count_nonzero(has))), np.uint8)
+    return key, off, length, unpacked(ids, n), out
 
 
 def least_ids(digit, off, length, ids, content, depth):
@@ -204,30 +272,30 @@ def least_ids(digit, off, length, ids, content, depth):
     return out
 
 
-def compare(messages, depth: int):
-    """The second pass of an owner: ((partition, row), (part, record numbers, places from, to, ids)) for windows that
-    a smaller id than the record's own also has."""
+def compare(messages, depth: int, owner_bits: int):
+    """The second pass of an owner: ((partition, row), (batch, owner, number of spans, parts, numbers of the part's
+    records of this owner, places from and to, ids)) for windows that a smaller id than the record's own also has."""
     got = list(messages)
     if not got:
         return
-    digit = np.concatenate([m[1] for m in got])
-    off, length = (np.concatenate([m[k] for m in got]).astype(np.int64) for k in (2, 3))
-    ids = np.concatenate([m[4] for m in got])
-    message = np.repeat(np.arange(len(got)), [len(m[1]) for m in got])
-    number = np.concatenate([m[6] for m in got])
-    content = np.empty((len(digit), 2 * depth - ((depth + 1) // 2 - 1)), np.uint8)
-    codec, at = pa.Codec("zstd"), 0
-    for m in got:
-        some = content[at : at + len(m[1])]
-        some[:] = np.frombuffer(codec.decompress(m[5], some.size), np.uint8).reshape(some.shape)
-        at += len(some)
+    sizes = np.array([m[4] for _, m in got])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    reach, first = depth - ((depth + 1) // 2 - 1), (depth + 1) // 2 - 1
+    digit, off, length, ids, content = (
+        np.empty((starts[-1], *shape), kind)
+        for kind, shape in ((np.uint64, ()), (np.uint8, ()), (np.uint8, ()), (np.int64, ()), (np.uint8, (2 * reach,))))
+    for (owner, m), a, b in zip(got, starts[:-1], starts[1:]):
+        digit[a:b], off[a:b], length[a:b], ids[a:b], content[a:b] = read(m[5:], m[4], owner, depth, owner_bits)
+    got = [(owner, m[:4]) for owner, m in got]
     order = np.argsort(digit)
-    borders = np.flatnonzero(np.diff(digit[order], prepend=digit[order[0]] + np.uint64(1)))
+    borders = np.flatnonzero(np.concatenate([[True], np.diff(digit[order]) != 0]))
     sizes = np.diff(np.append(borders, len(order)))
     order = order[np.repeat(sizes, sizes) > 1]
     found = []
     for some in whole_groups(order, digit, COMPARED):
-        least = least_ids(digit[some], off[some], length[some], ids[some], content[some], depth)
+        whole = np.zeros((len(some), reach + depth), np.uint8)
+        whole[:, :reach], whole[:, reach + first :] = content[some, :reach], content[some, reach:]
+        least = least_ids(digit[some], off[some].astype(np.int64), length[some].astype(np.int64), ids[some], whole, depth)
         some_better = np.flatnonzero((least < ids[some]).any(0))
         if not len(some_better):
             continue
@@ -240,12 +308,17 @@ def compare(messages, depth: int):
     if not found:
         return
     record, low, high, value = (np.concatenate(x) for x in zip(*found))
-    by = np.argsort(message[record], kind="stable")
+    by = np.lexsort((low, record))
     record, low, high, value = record[by], low[by], high[by], value[by]
-    borders = np.flatnonzero(np.diff(message[record], prepend=-1))
-    for a, b in zip(borders, [*borders[1:], len(record)]):
-        part, row, sub = got[message[record[a]]][0]
-        yield (part, row), (sub, number[record[a:b]].astype(np.int32), low[a:b].astype(np.int8), high[a:b].astype(np.int8), value[a:b])
+    borders = np.searchsorted(record, starts)
+    for (owner, ((part, row, batch), sub, n, counts)), start, a, b in zip(got, starts, borders[:-1], borders[1:]):
+        if a == b:
+            continue
+        parts = np.concatenate([[0], np.cumsum(unpacked(counts, n))])
+        number = record[a:b] - start
+        which = np.searchsorted(parts, number, "right") - 1
+        yield (part, row), (batch, owner, int(b - a), packed(which + sub), packed(number - parts[which]),
+                            squeezed(np.stack([low[a:b], high[a:b]]).astype(np.uint8)), packed(value[a:b]))
 
 
 def whole_groups(order, digit, most):
@@ -265,10 +338,11 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, hot: tuple[int, int] = HOT, p
 
     Removed is each byte covered by a string of `depth` bytes that starts in a document of a smaller doc_id too. The
     passes: the first digit of all windows, Golomb-coded, finds which are repeated; the bytes of repeated runs, one copy
-    a chunk, go to the owner of their digit, who sorts the windows by the rest of their bytes; the ids come back to the
-    rows, where the covered bytes are cut. A digit that is in unlike runs in hot[0] chunks, or is in hot[1] chunks, is
+    a part, without the anchors, which their hashes stand for, go to the owner of their digit, who sorts the windows by the rest of their bytes; the ids come back to the
+    rows, where the covered bytes are cut. A digit that is in unlike runs in hot[0] parts, or is in hot[1] parts, is
     dealt by whole windows, so no owner has all contexts of a common passage. Windows are compared by a
-    64-bit hash that joins the digit and all their bytes. `depth` is 8 to 120, as records keep places in a byte. Texts are
+    64-bit hash that joins the anchor's 64-bit hash and all other bytes. Messages to owners are made of about `chunk_bytes`
+    of text, so that they stay large, and what is added to them small, when there are many owners. `depth` is 8 to 120, as records keep places in a byte. Texts are
     read three times and never shuffled. Null text: empty. Null doc_id: larger than any, and equal ids remove nothing from each other. Texts
     shorter than `depth` keep all. Repeated rows stay, a row each. Empty table: no rows. Other columns are not read.
     """
@@ -277,54 +351,103 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, hot: tuple[int, int] = HOT, p
     spark = docs.sparkSession
     texts = id_and_text(docs)
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    home = Homes(texts.select("doc_id", "text"), lambda r: len(r[1]), chunk_bytes)
+    home = Homes(texts.select("doc_id", "text"), lambda r: len(r[1]), chunk_bytes, 16 * CHUNK_ROWS)
     owners = 1 << max(1, int(total // (depth // 4) // per_owner).bit_length())
     owner_bits = owners.bit_length() - 1
 
     def send(part, row, rows):
-        for sub, p in enumerate(parts_of(rows, depth)):
-            values, several, unlike = p.distinct()
-            yield from to_owners(values, several, (part, row, sub), BITS, owner_bits, unlike)
+        found = ((len(p.data), p.distinct()) for p in parts_of(rows, depth))
+        for number, batch in enumerate(batches(found, chunk_bytes)):
+            values, several, *met = together(batch)
+            yield from to_owners(values, several, (part, row, number), BITS, owner_bits, met)
 
     def with_answers(rows, answers):
-        by_sub: dict[int, list] = {}
+        """The number of each batch, and (part's number in the chunk, Part, its records) one by one."""
+        by_batch: dict[int, list] = {}
         for answer in answers:
-            by_sub.setdefault(answer[0], []).append(answer[1:])
-        for sub, p in enumerate(parts_of(rows, depth)):
-            values, inverse = p.digits()
-            own = by_sub.get(sub, [])
-            repeated, often = (answered(values, own, BITS, owner_bits, k)[inverse] for k in (3, 4))
-            yield sub, p, p.records(repeated, often)
+            by_batch.setdefault(answer[0], []).append(answer[1:])
+        sub = 0
+        for number, batch in enumerate(batches(((len(p.data), p) for p in parts_of(rows, depth)), chunk_bytes)):
+            values, own = np.unique(np.concatenate([p.digit for p in batch])), by_batch.pop(number, [])
+            bits = [answered(values, own, BITS, owner_bits, k) for k in (3, 4)]
+
+            def settled(sub=sub):
+                batch.reverse()
+                while batch:
+                    p = batch.pop()
+                    at = np.searchsorted(values, p.digit)
+                    yield sub, p, p.records(*(b[at] for b in bits))
+                    sub += 1
+
+            n = len(batch)
+            yield number, settled()
+            sub += n
 
     def second(part, row, rows, answers):
         ids = ids_of(rows)
-        for sub, p, (digit, low, high, at, text, same) in with_answers(rows, answers):
-            _, first, inverse = np.unique(same, return_index=True, return_inverse=True)
-            least = np.full(len(first), NO_ID)
-            np.minimum.at(least, inverse, ids[text])
-            owner = (digit[first] >> np.uint64(BITS - owner_bits)).astype(np.int64)
+
+        def sent(number, held):
+            sub, n = held[0][0], len(held)
+            counts = [len(h[1]) for h in held]
+            owner, key, off, length, least, content = (np.concatenate([h[k] for h in held]) for k in range(1, 7))
+            parts = np.repeat(np.arange(n), counts)
+            held.clear()
             order = np.argsort(owner, kind="stable")
             borders = np.flatnonzero(np.diff(owner[order], prepend=-1))
-            content = p.around()
             for a, b in zip(borders, [*borders[1:], len(order)]):
                 some = order[a:b]
-                f = first[some]
-                yield int(owner[some[0]]), ((part, row, sub), digit[f], (at - low)[f].astype(np.uint8), (high[f] - low[f] + depth).astype(np.uint8),
-                                            least[some], squeezed(content(low[f], high[f], at[f])), some.astype(np.int32))
+                yield int(owner[some[0]]), ((part, row, number), sub, n, packed(np.bincount(parts[some], minlength=n)), len(some), *written(
+                    key[some], off[some], length[some], least[some], content[some], depth, owner_bits))
+
+        for number, settled in with_answers(rows, answers):
+            held, size = [], 0
+            for sub, p, (key, low, high, at, text, same) in settled:
+                first, inverse, owner, order = dealt(key, same, owner_bits)
+                least = np.full(len(first), NO_ID)
+                np.minimum.at(least, inverse, ids[text])
+                f, content, reach = first[order], p.around(), depth - p.first
+                whole = content(low[f], high[f], at[f])
+                held.append((sub, owner[order], key[f], (at - low)[f].astype(np.uint8), (high[f] - low[f] + depth).astype(np.uint8),
+                             least[order], np.concatenate([whole[:, :reach], whole[:, reach + p.first :]], axis=1)))
+                size += len(f)
+                if size >= RECORDS:
+                    yield from sent(number, held)
+                    size = 0
+            if size:
+                yield from sent(number, held)
+
+    def spans_of(answers, number):
+        """By part: owners, numbers of the part's records of this owner, places from and to, ids, of a batch's answers."""
+        own = [a for a in answers if a[0] == number]
+        if not own:
+            return {}
+        codec = pa.Codec("zstd")
+        owner = np.repeat([a[1] for a in own], [a[2] for a in own])
+        sub, record, value = (np.concatenate([unpacked(a[k], a[2]) for a in own]) for k in (3, 4, 6))
+        low, high = (np.concatenate([np.frombuffer(codec.decompress(a[5], 2 * a[2]), np.uint8)[k * a[2] : (k + 1) * a[2]] for a in own]).astype(
+            np.int64) for k in (0, 1))
+        order = np.argsort(sub, kind="stable")
+        subs, borders = np.unique(sub[order], return_index=True)
+        return {int(s): tuple(x[order[a:b]] for x in (owner, record, low, high, value))
+                for s, a, b in zip(subs, borders, [*borders[1:], len(order)])}
 
     def last(part, row, rows, answers):
         ids = ids_of(rows)
         firsts, seconds = [a[1] for a in answers if a[0] == 1], [a[1] for a in answers if a[0] == 2]
         masks = {}
-        for sub, p, (_, low, high, at, text, same) in with_answers(rows, firsts):
-            _, inverse = np.unique(same, return_inverse=True)
-            least = np.full(int(inverse.max()) + 1 if len(inverse) else 0, NO_ID)
+        for sub, p, (key, low, high, at, text, same), spans in (
+                (sub, p, records, spans.get(sub)) for number, settled in with_answers(rows, firsts)
+                for spans in [spans_of(seconds, number)] for sub, p, records in settled):
+            first, inverse, owner, order = dealt(key, same, owner_bits)
+            least = np.full(len(first), NO_ID)
             np.minimum.at(least, inverse, ids[text])
             reach = depth - p.first
             grid = np.tile(least, (reach + 1, 1))
-            for _, record, a, b, value in (s for s in seconds if s[0] == sub):
-                n = b.astype(np.int64) - a + 1
-                column = np.repeat(a.astype(np.int64), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            if spans:
+                owners_own, record, a, b, value = spans
+                record = order[np.searchsorted(owner[order], owners_own) + record]
+                n = b - a + 1
+                column = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 grid[column, np.repeat(record, n)] = np.repeat(value, n)
             own = ids[text]
             some = np.flatnonzero(grid.min(0)[inverse] < own)
@@ -335,11 +458,11 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, hot: tuple[int, int] = HOT, p
                 starts[depth + begin[(begin >= low) & (begin <= high) & (grid[o, inverse] < own)]] = True
             begun = np.cumsum(starts)
             removed = begun[depth:] > begun[: len(p.data)]
-            for (number, offset, data), a in zip(p.pieces, p.starts):
+            for (number, offset, size), a in zip(p.pieces, p.starts):
                 mask = masks.get(number)
                 if mask is None:
                     mask = masks[number] = np.zeros(len(rows[number][1].encode("utf-8")), bool)
-                mask[offset : offset + len(data)] |= removed[a : a + len(data)]
+                mask[offset : offset + size] |= removed[a : a + size]
         for number, (doc_id, text) in enumerate(rows):
             data, mask = text.encode("utf-8"), masks[number]
             kept = np.frombuffer(data, np.uint8)[~mask].tobytes()
@@ -367,7 +490,7 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, hot: tuple[int, int] = HOT, p
     first = found_twice(home.send(send, owners), owners, BITS, hot).mapPartitions(by_sub)
     first = stored(spark.createDataFrame(first.mapPartitions(coded(1)), ANSWERS, verifySchema=False), "first-digits")
     runs = modest(home.receive(answers_of(first, False), second)).partitionBy(owners, lambda owner: owner)
-    found = runs.mapPartitions(task(lambda got: compare((m for _, m in got), depth)))
+    found = runs.mapPartitions(task(lambda got: compare(got, depth, owner_bits)))
     found = stored(spark.createDataFrame(found.mapPartitions(coded(2)), ANSWERS, verifySchema=False), "shared-windows")
     settled = home.receive(answers_of(first.unionAll(found), True), last)
     return spark.createDataFrame(settled, OUT, verifySchema=False)
