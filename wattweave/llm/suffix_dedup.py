@@ -368,16 +368,18 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, hot: tuple[int, int] = HOT, p
             by_batch.setdefault(answer[0], []).append(answer[1:])
         sub = 0
         for number, batch in enumerate(batches(((len(p.data), p) for p in parts_of(rows, depth)), chunk_bytes)):
-            values, own = np.unique(np.concatenate([p.digit for p in batch])), by_batch.pop(number, [])
-            bits = [answered(values, own, BITS, owner_bits, k) for k in (3, 4)]
+            values, inverse = np.unique(np.concatenate([p.digit for p in batch]), return_inverse=True)
+            own = by_batch.pop(number, [])
+            bits = [answered(values, own, BITS, owner_bits, k)[inverse] for k in (3, 4)]
+            del values, inverse
 
-            def settled(sub=sub):
+            def settled(sub=sub, bits=bits):
+                at = 0
                 batch.reverse()
                 while batch:
                     p = batch.pop()
-                    at = np.searchsorted(values, p.digit)
-                    yield sub, p, p.records(*(b[at] for b in bits))
-                    sub += 1
+                    yield sub, p, p.records(*(b[at : at + len(p.key)] for b in bits))
+                    sub, at = sub + 1, at + len(p.key)
 
             n = len(batch)
             yield number, settled()
