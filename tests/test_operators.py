@@ -9,7 +9,7 @@ from wattweave.operators import clustering, discriminant, kalman, knn, linkage,
 from wattweave.plans.classify import classify
 from wattweave.sources import tables
 from wattweave.sources.schemas import BUILDINGS
-from wattweave.sources.shared import materialise
+from wattweave.sources.shared import materialise, shuffles_dropped
 
 
 def naive_complete_linkage(points: dict[int, np.ndarray]) -> list[tuple[int, int, float]]:
@@ -68,6 +68,71 @@ def test_size_estimates_do_not_grow_over_the_rounds(points, monkeypatch):
     assert len(sizes) > 5 and max(sizes) < 1_000_000
 
 
+def test_linkage_by_limits_needs_no_search_of_all_clusters(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = {i: rng.normal(size=5) + 6 * (i % 3) for i in range(80)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "id long, features array<double>")
+    limits, close = [], linkage._close_pairs
+    monkeypatch.setattr(linkage, "_search", None)  # the rounds that compared all blocks with all blocks
+    monkeypatch.setattr(linkage, "_close_pairs", lambda m, n, b, limit: limits.append(limit) or close(m, n, b, limit))
+    tree = linkage.complete_linkage(df, "id", 40, finish=25).collect()
+    got = sorted((r.kept, r.gone, r.height) for r in tree)
+    want = naive_complete_linkage(rows)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], rtol=1e-12, atol=0)
+    assert 1 < len(limits) < 10 and limits == sorted(limits) and np.isfinite(limits[0]) and limits[-1] == np.inf
+    assert all(r.step > c.step for r in tree for c in tree if c.kept == r.gone)
+
+
+def test_linkage_where_no_limit_parts_the_pairs(spark):
+    places = [np.array([i % 5, i // 5], float) for i in range(20)]  # equal distances all over
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(places)], "id long, features array<double>")
+    tree = sorted(linkage.complete_linkage(df, "id", 16, finish=4).collect(), key=lambda r: r.step)
+    clusters = {i: [v] for i, v in enumerate(places)}
+    for r in tree:
+        a, b = clusters[r.kept], clusters.pop(r.gone)
+        assert r.kept < r.gone and r.height == max(np.sqrt(((p - q) ** 2).sum()) for p in a for q in b)
+        a += b
+    assert len(tree) == 19 and len(clusters) == 1
+
+
+@pytest.mark.parametrize("itself", [True, False])
+@pytest.mark.parametrize("limit", [3.0, np.inf])
+def test_block_close_equals_all_pairs_by_differences(monkeypatch, itself, limit):
+    for name, value in (("UNIT_ROWS", 5), ("TILE_ROWS", 7), ("TILE_COLUMNS", 9), ("EXACT_PAIRS", 10)):
+        monkeypatch.setattr(linkage, name, value)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 4)) + 1_000
+    x[30:45] = x[:15] + 1e-7 * rng.normal(size=(15, 4))  # products know no more than a rounding of these distances
+    of = np.concatenate([np.arange(25), rng.integers(25, 31, 35)])
+    table = pa.table({"cluster": of, "features": pa.array(list(x), pa.list_(pa.float64())), "size": np.bincount(of)[of]})
+    some = np.ones(60, bool) if itself else rng.random(60) < 0.5
+    sides = (some, some if itself else ~some)
+    left, right = (table.filter(pa.array(side)).append_column("a", pa.array([0] * side.sum())).append_column(
+        "b", pa.array([0 if itself else 1] * side.sum())) for side in sides)
+    rows = linkage._block_close(left, right, limit).to_pandas()
+    got = rows.groupby(["one", "other"]).agg({"distance": "max", "pairs": "sum", "whole": "max"})
+    gaps = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    pieces = {(a, b): [gaps[i, j] for s, t in ([(a, b)] if itself else [(a, b), (b, a)]) for i in np.flatnonzero((of == s) & sides[0])
+                       for j in np.flatnonzero((of == t) & sides[1])]
+              for a in range(31) for b in range(a + 1, 31)}
+    if limit == np.inf:
+        assert {k: (g.distance, g.pairs, g.whole) for k, g in got.iterrows()} == {
+            k: (max(v), len(v), (of == k[0]).sum() * (of == k[1]).sum()) for k, v in pieces.items() if v}
+    else:
+        assert rows["distance"].max() <= limit and got["pairs"].min() >= 1
+        assert {k for k, g in got.iterrows() if g.pairs == len(pieces[k])} == {k for k, v in pieces.items() if v and max(v) <= limit}
+
+
+def test_shuffles_dropped_leaves_the_setting_as_it_was(spark):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    with pytest.raises(KeyError), shuffles_dropped(spark):
+        assert spark.conf.get(setting) == "true"
+        raise KeyError
+    assert spark.conf.get(setting) == before
+
+
 def test_cut_tree_gives_k_clusters(points):
     _, df = points
     found = linkage.hierarchical_clusters(df, "id", 3)

@@ -1,18 +1,22 @@
 """Complete-linkage clustering of row vectors without a distance matrix.
 
-Each round finds the nearest cluster of every cluster, merges all pairs that are nearest to each other and
-relabels their members; for complete linkage this builds the same tree as merging one pair at a time. Only
-clusters whose neighbour has changed are searched again. A task compares one block of members with one block
-of members and returns one candidate per cluster, so pairs of rows never leave it. A cluster larger than a
-block is cut into parts, whose partial maxima are combined before the minimum is taken.
-
-When few clusters are left, however many rows they hold, all their distances are taken the same way, block by block,
-and the top of the tree is merged from that table of bounded size.
+Clusters that merge up to a height have all their members within it, so these merges need no pair of clusters that is
+further apart. Each pass finds the pairs of clusters up to a limit, chosen from a sample of clusters so that about
+FINISH² / 2 pairs come, and one task merges these, all that are nearest to each other at once, until none is left: for
+complete linkage this builds the same tree as merging one pair at a time. The next pass has fewer clusters and a higher
+limit, the last one has none. Where so many pairs are equally far that no limit parts them, a round without limit finds
+the nearest cluster of every cluster and merges all pairs that are nearest to each other.
+
+A task compares one block of members with one block of members. Products tell which pairs of members may be the furthest
+of two clusters; these are taken again by differences, so no distance has the rounding of a product. A cluster larger
+than a block is cut into parts, whose partial maxima are combined.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,23 +24,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattweave.operators.knn import exact_gaps, matrix
-from wattweave.sources.shared import rewritten
+from wattweave.sources.shared import discard, rewritten, shuffles_dropped
 
-BLOCK_ROWS = 2_048
+BLOCK_ROWS = 16_384
+#: Rows of a block of a round without limit, which holds the distances of all rows of two blocks.
+SEARCH_ROWS = 2_048
 #: Rows of a block while there are few, so that several tasks share them, and how many blocks there then are at most.
-LEAST_ROWS, LEAST_BLOCKS = 64, 4
+LEAST_ROWS, LEAST_BLOCKS = 256, 8
 #: Tasks of a round at most; the driver keeps a record of each. A task then has several pairs of blocks, one at a time.
 MOST_TASKS = 1_000
-#: Clusters whose table of distances one task merges: half a million distances, whatever the number of rows.
-FINISH = 1_024
+#: Clusters whose table of distances one task merges: four million distances, whatever the number of rows.
+FINISH = 2_896
+#: Times that number a pass may find before it counts as one that no limit parts.
+MOST_FOUND = 3
+#: Clusters of the sample that a limit is chosen from, and its pairs below the limit, at least.
+SAMPLE, SAMPLE_BELOW = 512, 100
+#: Rows of a product: about a tile of so many by so many. Larger clusters are cut, so a tile has four times that at most.
+TILE_ROWS, TILE_COLUMNS, UNIT_ROWS = 256, 2_048, 1_024
+#: Pairs of members whose differences are held at once.
+EXACT_PAIRS = 8_192
 
 
 def complete_linkage(rows: DataFrame, key: str, block_rows: int = BLOCK_ROWS, finish: int = FINISH) -> DataFrame:
     """The merge tree of rows with complete ``features``: (kept, gone, height, step).
 
-    A cluster is named by its smallest key; ``gone`` joins ``kept``. Equal rows merge first, at height zero. Rounds
-    merge until ``finish`` clusters are left; both sizes steer cost and memory, never the tree.
+    A cluster is named by its smallest key; ``gone`` joins ``kept``. Equal rows merge first, at height zero. One task
+    merges about as many pairs of clusters as ``finish`` clusters have; both sizes steer cost and memory, never the tree.
     """
+    with shuffles_dropped(rows.sparkSession):
+        return _tree(rows, key, block_rows, max(finish * (finish - 1) // 2, 1))
+
+
+def _tree(rows: DataFrame, key: str, block_rows: int, most: int) -> DataFrame:
     keyed = rows.select(F.col(key).cast("long").alias("key"), "features")
     members = rewritten(keyed.groupBy("features").agg(F.min("key").alias("key"))
                           .select("key", "features", F.col("key").alias("cluster")))
@@ -44,64 +63,137 @@ def complete_linkage(rows: DataFrame, key: str, block_rows: int = BLOCK_ROWS, fi
               .select(F.col("cluster").alias("kept"), F.col("key").alias("gone"), F.lit(0.0).alias("height"),
                       F.lit(0).alias("step")))
     tree = [copies]
-    left = n = members.count()
-    near = None
-    step = 0
-    while left > finish:
-        step += 1
-        near = rewritten(_refresh(members, near, n, block_rows))
-        pairs = _mutual_pairs(near)
-        merges = rewritten(pairs.withColumn("step", F.lit(step)))
-        n_merges = merges.count()
+    n, left = members.agg(F.count(F.lit(1)), F.count_distinct("cluster")).first()
+    step, wider, first = 0, 1, members
+    while left > 1:
+        pairs = left * (left - 1) // 2
+        if pairs <= most:
+            limit = math.inf
+        else:
+            limit = _limit(members, n, left, block_rows, most * wider, step) if most * wider < pairs else None
+        found = None if limit is None else rewritten(_close_pairs(members, n, block_rows, limit))
+        if found is None or found.count() > MOST_FOUND * most:
+            limit = None
+            nearest = _mutual_pairs(rewritten(_search(members, members, n, min(block_rows, SEARCH_ROWS))))
+            merges = rewritten(nearest.withColumn("step", F.lit(step + 1)).withColumn("top", F.col("kept")))
+        else:
+            merges = rewritten(_merged(found, step))
+        if found is not None:
+            discard(found)
+        n_merges, last = merges.agg(F.count(F.lit(1)), F.max("step")).first()
+        if not n_merges and limit is not None and math.isfinite(limit):  # the sample's limit was below all distances
+            wider *= 4
+            continue
         if not n_merges:  # two of the least distance are each other's nearest, unless a distance is no number
             raise ValueError("features have values that are no numbers")
-        tree.append(merges)
-        left -= n_merges
-        renamed = merges.select(F.col("gone").alias("cluster"), F.col("kept"))
-        members = rewritten(members.join(renamed, "cluster", "left")
-                              .select("key", "features", F.coalesce("kept", "cluster").alias("cluster")))
-        near = _still_valid(near, merges)
-    tree.append(_top_of_tree(members, n, block_rows, step))
+        tree.append(merges.drop("top"))
+        left, step, wider = left - n_merges, last, 1
+        if left > 1:
+            renamed = merges.select(F.col("gone").alias("cluster"), "top")
+            before, members = members, rewritten(members.join(renamed, "cluster", "left")
+                                                   .select("key", "features", F.coalesce("top", "cluster").alias("cluster")))
+            if before is not first:  # the copies' merges still read those
+                discard(before)
     out = tree[0]
     for part in tree[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _top_of_tree(members: DataFrame, n: int, block_rows: int, step: int) -> DataFrame:
-    """The merges of the clusters that are left, from the table of their distances: at most FINISH clusters."""
-    gaps = _meet_blocks(members, members, n, block_rows, _block_gaps, "one long, other long, distance double", half=True)
-    table = gaps.groupBy("one", "other").agg(F.max("distance").alias("distance"))
+def _limit(members: DataFrame, n: int, left: int, block_rows: int, most: int, seed: int) -> float | None:
+    """The distance up to which about ``most`` pairs of the ``left`` clusters lie, from all pairs of a sample of them.
+
+    None if far more pairs lie at the least distance.
+    """
+    share = most / (left * (left - 1) / 2)
+    sampled = min(max(SAMPLE, math.ceil(math.sqrt(2 * SAMPLE_BELOW / share))), left)
+    of = 1 << 40
+    some = members.where(F.pmod(F.xxhash64("cluster", F.lit(seed)), F.lit(of)) < math.ceil(of * sampled / left))
+    gaps = _meet_blocks(some, some, max(math.ceil(n * sampled / left), 1), block_rows, _block_gaps,
+                        "one long, other long, distance double", half=True)
+    gaps = rewritten(gaps.groupBy("one", "other").agg(F.max("distance").alias("distance")))
+    k = max(round(share * gaps.count()), 1)
+    limit = gaps.orderBy("distance").limit(k).agg(F.max("distance")).first()[0]
+    at, below = gaps.agg(F.count_if(F.col("distance") <= limit), F.max(F.when(F.col("distance") < limit, F.col("distance")))).first()
+    discard(gaps)
+    if limit is None:  # no two clusters in the sample
+        return 0.0
+    return below if at > MOST_FOUND * k else limit
+
+
+def _close_pairs(members: DataFrame, n: int, block_rows: int, limit: float) -> DataFrame:
+    """(one, other, distance) of all pairs of clusters with all their members within the limit."""
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _block_close(left, right, limit)
 
-    def merge(got: pa.Table) -> pa.Table:
-        return _merge_all(got, step)
+    found = _meet_blocks(members, members, n, block_rows, work,
+                         "one long, other long, distance double, pairs long, whole long", half=True)
+    return (found.groupBy("one", "other").agg(F.max("distance").alias("distance"), F.sum("pairs").alias("pairs"),
+                                              F.max("whole").alias("whole"))
+            .where(F.col("pairs") == F.col("whole")).drop("pairs", "whole"))
 
-    return table.groupBy(F.lit(0).alias("all")).applyInArrow(merge, "kept long, gone long, height double, step int")
+
+def _merged(found: DataFrame, done: int) -> DataFrame:
+    """All merges of the clusters that the pairs found allow; ``top`` is the cluster that ``gone`` ends in."""
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _merge_all(pa.Table.from_batches(list(batches), _PAIRS), done).to_batches()
+
+    return found.repartition(1).mapInArrow(merge, "kept long, gone long, height double, step int, top long")
+
+
+_PAIRS = pa.schema([("one", pa.int64()), ("other", pa.int64()), ("distance", pa.float64())])
 
 
 def _merge_all(table: pa.Table, done: int) -> pa.Table:
-    one, other = table.column("one").to_numpy(), table.column("other").to_numpy()
-    keys = np.unique(np.concatenate([one, other]))
-    gaps = np.full((len(keys), len(keys)), np.inf)
-    i, j = np.searchsorted(keys, one), np.searchsorted(keys, other)
-    gaps[i, j] = gaps[j, i] = table.column("distance").to_numpy()
-    near = gaps.argmin(1)
-    best = gaps[np.arange(len(keys)), near]
-    merges = []
-    for step in range(1, len(keys)):
-        a = int(best.argmin())
-        a, b = sorted((a, int(near[a])))
-        merges.append((keys[a], keys[b], float(gaps[a, b]), done + step))
-        joined = np.maximum(gaps[a], gaps[b])
-        gaps[a], gaps[:, a], gaps[b], gaps[:, b] = joined, joined, np.inf, np.inf
-        gaps[a, a] = best[b] = np.inf
-        for i in np.flatnonzero((near == a) | (near == b) | (np.arange(len(keys)) == a)):
-            if i != b and np.isfinite(best[i]) or i == a:
-                near[i] = gaps[i].argmin()
-                best[i] = gaps[i, near[i]]
-    kept, gone, height, at = zip(*merges)
-    return pa.table({"kept": pa.array(kept, pa.int64()), "gone": pa.array(gone, pa.int64()),
-                     "height": pa.array(height, pa.float64()), "step": pa.array(at, pa.int32())})
+    """Merge all pairs that are nearest to each other, round by round; a pair that was not found is beyond the limit."""
+    gaps = table.column("distance").to_numpy()
+    named = pa.chunked_array([*table.column("one").chunks, *table.column("other").chunks], pa.int64()).combine_chunks().dictionary_encode()
+    keys = named.dictionary.to_numpy()
+    n, order = len(keys), np.argsort(keys)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    keys, ij = keys[order], place[named.indices.to_numpy()]
+    i, j = ij[:len(gaps)], ij[len(gaps):]
+    merges, top = [], np.arange(n, dtype=np.int32)
+    while len(i):
+        a, b, height = _mutual(i, j, gaps, n)
+        done += 1
+        merges.append((a, b, height, np.full(len(a), done)))
+        renamed, parts = np.arange(n, dtype=np.int32), np.ones(n, np.int8)
+        renamed[b], parts[a] = a, 2
+        top = renamed[top]
+        i, j = renamed[i], renamed[j]
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        need = parts[i] * parts[j]
+        same, joined = (need == 1), (need > 1) & (i != j)
+        # of a merged cluster, all parts must have been found; the furthest counts
+        pair = i[joined].astype(np.int64) * n + j[joined]
+        order = np.argsort(pair)
+        pair, far = pair[order], gaps[joined][order]
+        starts = np.flatnonzero(np.diff(pair, prepend=-1))
+        found = np.diff(starts, append=len(pair))
+        far = np.maximum.reduceat(far, starts) if len(starts) else far
+        x, y = np.divmod(pair[starts], n)
+        whole = found == parts[x] * parts[y]
+        i, j = np.concatenate([i[same], x[whole].astype(np.int32)]), np.concatenate([j[same], y[whole].astype(np.int32)])
+        gaps = np.concatenate([gaps[same], far[whole]])
+    kept, gone, height, at = (np.concatenate(x) for x in zip(*merges)) if merges else (np.empty(0, int) for _ in range(4))
+    return pa.table({"kept": pa.array(keys[kept], pa.int64()), "gone": pa.array(keys[gone], pa.int64()),
+                     "height": pa.array(height, pa.float64()), "step": pa.array(at, pa.int32()),
+                     "top": pa.array(keys[top[gone]], pa.int64())})
+
+
+def _mutual(i: np.ndarray, j: np.ndarray, gaps: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs whose sides are each other's nearest; of equally near clusters the one named first is the nearest."""
+    least, near = np.full(n, np.inf), np.full(n, n, np.int32)
+    np.minimum.at(least, i, gaps)
+    np.minimum.at(least, j, gaps)
+    of_i, of_j = gaps == least[i], gaps == least[j]
+    np.minimum.at(near, i[of_i], j[of_i])
+    np.minimum.at(near, j[of_j], i[of_j])
+    some = np.flatnonzero(of_i & of_j)
+    some = some[(near[i[some]] == j[some]) & (near[j[some]] == i[some])]
+    return i[some], j[some], gaps[some]
 
 
 def _mutual_pairs(near: DataFrame) -> DataFrame:
@@ -110,30 +202,16 @@ def _mutual_pairs(near: DataFrame) -> DataFrame:
             .select(F.col("cluster").alias("kept"), F.col("near").alias("gone"), F.col("distance").alias("height")))
 
 
-def _still_valid(near: DataFrame, merges: DataFrame) -> DataFrame:
-    """Neighbours that the merges have not touched on either side; by reducibility they stay nearest."""
-    touched = merges.select(F.explode(F.array("kept", "gone")).alias("id"))
-    return (near.join(touched, near["cluster"] == touched["id"], "left_anti")
-            .join(touched, F.col("near") == touched["id"], "left_anti"))
-
-
-def _refresh(members: DataFrame, near: DataFrame | None, n: int, block_rows: int) -> DataFrame:
-    """Nearest other cluster per cluster: those given, and a search for the rest."""
-    if near is None:
-        return _search(members, members, n, block_rows)
-    stale = members.join(near.select("cluster"), "cluster", "left_anti")
-    return near.unionByName(_search(stale, members, n, block_rows))
-
-
 def _meet_blocks(asked: DataFrame, members: DataFrame, n: int, block_rows: int, work, columns: str, half: bool = False) -> DataFrame:
     """work on each block of the asked rows with each block of all members; with ``half``, on each two blocks once."""
     blocks = max(math.ceil(n / block_rows), min(LEAST_BLOCKS, math.ceil(n / LEAST_ROWS)), 1)
 
     def placed(df: DataFrame) -> DataFrame:
-        parts = df.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) * blocks / n).cast("int").alias("parts"))
+        parts = (df.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+                 .withColumn("parts", F.ceil(F.col("size") * blocks / n).cast("int")))
         part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("key"), "parts")).otherwise(0)
         return (df.join(parts, "cluster")
-                .select("cluster", "features", "parts",
+                .select("cluster", "features", "size", "parts",
                         F.pmod(F.xxhash64("cluster", part), F.lit(blocks)).cast("int").alias("block")))
 
     first, last = F.lit(0), F.lit(blocks - 1)
@@ -166,11 +244,133 @@ def _linked(left: pa.Table, right: pa.Table):
 
 def _block_gaps(left: pa.Table, right: pa.Table) -> pa.Table:
     """Every two clusters of the blocks, the smaller name first, with the largest distance between their members here."""
-    if not (left.num_rows and right.num_rows):
-        return pa.table({"one": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-    a, _, b, _, gaps = _linked(left, right)
-    rows, cols = np.nonzero(np.isfinite(gaps))
-    return pa.table({"one": np.minimum(a[rows], b[cols]), "other": np.maximum(a[rows], b[cols]), "distance": gaps[rows, cols]})
+    return _block_close(left, right, math.inf).select(["one", "other", "distance"])
+
+
+def _block_close(left: pa.Table, right: pa.Table, limit: float) -> pa.Table:
+    """Every two clusters of the blocks whose members here are all within the limit, the smaller name first.
+
+    With the largest distance, how many pairs of members it is of, and how many the two clusters have in all; a large
+    cluster gives several rows. A block that meets itself has its pairs once.
+    """
+    parts = []
+    if left.num_rows and right.num_rows:
+        itself = left.column("a")[0] == left.column("b")[0]
+        a = _Units.of(left)
+        b = a if itself else _Units.of(right)
+        # products round by so much at most
+        slack = 4 * (a.rows.shape[1] + 4) * np.finfo(float).eps * max(a.squares.max(), b.squares.max())
+        ones = (np.ones((len(x.rows), 1)) for x in (a, b))
+        p, q = np.hstack([-2 * a.rows, a.squares[:, None], next(ones)]), np.hstack([b.rows, next(ones), b.squares[:, None]])
+        columns = b.tiles(TILE_COLUMNS)
+        for one in a.tiles(TILE_ROWS):
+            for other in columns:
+                if not itself or one[0] < other[1] - 1:
+                    parts.append(_tile(a, b, one, other, p, q, limit, slack, itself))
+    empty = [np.empty(0, t) for t in (np.int64, np.int64, float, np.int64, np.int64)]
+    return pa.table(dict(zip(("one", "other", "distance", "pairs", "whole"), map(np.concatenate, zip(empty, *parts)))))
+
+
+@dataclass
+class _Units:
+    """The rows of a block by unit, the smallest first. A unit is a cluster, or a piece of UNIT_ROWS of a larger one."""
+
+    names: np.ndarray
+    whole: np.ndarray
+    starts: np.ndarray
+    rows: np.ndarray
+    squares: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table) -> _Units:
+        clusters = table.column("cluster").to_numpy()
+        order = np.argsort(clusters, kind="stable")
+        clusters = clusters[order]
+        first = np.flatnonzero(np.concatenate([[True], clusters[1:] != clusters[:-1]]))
+        sizes = np.diff(first, append=len(clusters))
+        pieces = -(-sizes // UNIT_ROWS)
+        starts = np.repeat(first, pieces) + UNIT_ROWS * _counted(pieces)
+        sizes = np.diff(starts, append=len(clusters))
+        by_size = np.argsort(sizes, kind="stable")
+        names, whole = clusters[starts[by_size]], table.column("size").to_numpy()[order][starts[by_size]]
+        sizes, starts = sizes[by_size], starts[by_size]
+        rows = matrix(table.column("features"))[order][np.repeat(starts, sizes) + _counted(sizes)]
+        return cls(names, whole, np.concatenate([[0], np.cumsum(sizes)]), rows, (rows * rows).sum(1))
+
+    def tiles(self, rows: int) -> list[tuple[int, int]]:
+        """Runs of units, first and end, that have about so many rows, or one unit that has more."""
+        out, at = [], 0
+        while at < len(self.names):
+            end = max(int(np.searchsorted(self.starts, self.starts[at] + rows, "right")) - 1, at + 1)
+            out.append((at, end))
+            at = end
+        return out
+
+
+def _counted(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each of the sizes."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+def _most(gaps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The largest of each unit's rows, column by column; sizes ascend, so units of one size go together."""
+    if sizes[-1] == 1:
+        return gaps
+    out, at = np.empty((len(sizes), gaps.shape[1])), 0
+    borders = np.flatnonzero(np.diff(sizes, prepend=0, append=0))
+    for first, end in zip(borders, borders[1:]):
+        size, n = sizes[first], end - first
+        some = gaps[at:at + size * n].reshape(n, size, -1)
+        some.max(axis=1, out=out[first:end])
+        at += size * n
+    return out
+
+
+def _tile(a: _Units, b: _Units, one: tuple[int, int], other: tuple[int, int], p: np.ndarray, q: np.ndarray,
+          limit: float, slack: float, itself: bool) -> tuple[np.ndarray, ...]:
+    """The rows of _block_close for units of both sides."""
+    a_starts, b_starts = a.starts[one[0]:one[1] + 1], b.starts[other[0]:other[1] + 1]
+    a_from, b_from = a_starts[0], b_starts[0]
+    gaps = p[a_from:a_starts[-1]] @ q[b_from:b_starts[-1]].T
+    a_sizes, b_sizes = np.diff(a_starts), np.diff(b_starts)
+    by_row = _most(gaps, a_sizes)
+    most = by_row.T if b_sizes[-1] == 1 else _most(np.ascontiguousarray(by_row.T), b_sizes)
+    near = most <= limit * limit * (1 + 1e-12) + slack
+    if b_sizes[-1] == 1:
+        r, c = np.divmod(np.flatnonzero(near.T), len(b_sizes))
+    else:
+        c, r = np.divmod(np.flatnonzero(near), len(a_sizes))
+    a_names, b_names = a.names[one[0] + r], b.names[other[0] + c]
+    apart = a_names != b_names
+    if itself:
+        apart &= one[0] + r < other[0] + c
+    r, c, a_names, b_names = r[apart], c[apart], a_names[apart], b_names[apart]
+    distance = np.empty(len(r))
+    few = max(EXACT_PAIRS // int(max(a_sizes.max(), b_sizes.max())), 1) if len(r) else 1
+    for at in range(0, len(r), few * 8):
+        u, v = r[at:at + few * 8], c[at:at + few * 8]
+        least = most[v, u] - 2 * slack
+        # columns of the second unit, then rows of the first, that may be the furthest apart
+        pair = np.repeat(np.arange(len(u)), b_sizes[v])
+        y = (b_starts[v] - b_from)[pair] + _counted(b_sizes[v])
+        far = by_row[u[pair], y] >= least[pair]
+        pair, y = pair[far], y[far]
+        sizes = a_sizes[u[pair]]
+        x = np.repeat((a_starts[u[pair]] - a_from), sizes) + _counted(sizes)
+        pair, y = np.repeat(pair, sizes), np.repeat(y, sizes)
+        far = gaps[x, y] >= least[pair]
+        pair, x, y = pair[far], x[far], y[far]
+        exact = np.empty(len(pair))
+        for k in range(0, len(pair), EXACT_PAIRS):
+            gap = a.rows[a_from + x[k:k + EXACT_PAIRS]] - b.rows[b_from + y[k:k + EXACT_PAIRS]]
+            exact[k:k + EXACT_PAIRS] = np.sqrt((gap * gap).sum(1))
+        distance[at:at + few * 8] = np.maximum.reduceat(exact, np.flatnonzero(np.diff(pair, prepend=-1)))
+    near = distance <= limit
+    r, c = r[near], c[near]
+    a_names, b_names = a_names[near], b_names[near]
+    return (np.minimum(a_names, b_names), np.maximum(a_names, b_names), distance[near], a_sizes[r] * b_sizes[c],
+            a.whole[one[0] + r] * b.whole[other[0] + c])
 
 
 def _block_linkage(left: pa.Table, right: pa.Table) -> pa.Table:
