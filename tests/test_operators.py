@@ -139,6 +139,22 @@ def test_cut_tree_gives_k_clusters(points):
     assert found.count() == 40 and {r[0] for r in found.select("cluster").distinct().collect()} == {1, 2, 3}
 
 
+def test_cut_tree_builds_the_tree_once(spark):
+    built = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            built.add(batch.num_rows)
+            yield batch
+
+    merges = spark.createDataFrame([(1, 2, 1.0, 1), (3, 4, 2.0, 2), (1, 3, 3.0, 3), (1, 5, 9.0, 4)],
+                                   "kept long, gone long, height double, step int")
+    rows = spark.createDataFrame([(i,) for i in range(1, 6)], "id long")
+    tree = merges.mapInArrow(counted, merges.schema)
+    assert {tuple(r) for r in linkage.cut_tree(rows, "id", tree, 2).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 2)}
+    assert built.value == 4
+
+
 def test_linkage_of_one_row_and_of_none(spark):
     one = spark.createDataFrame([(1, [0.0, 1.0])], "id long, features array<double>")
     assert linkage.complete_linkage(one, "id").count() == 0 and linkage.complete_linkage(one.limit(0), "id").count() == 0

@@ -403,6 +403,7 @@ def _sorted_block(table: pa.Table):
 
 def cut_tree(rows: DataFrame, key: str, tree: DataFrame, k: int) -> DataFrame:
     """(key, cluster): the k clusters left after undoing the k - 1 highest merges, numbered by their smallest key."""
+    tree = rewritten(tree)  # it is read twice, and a lazy tree would be built as often
     undone = tree.orderBy(F.desc("height"), F.desc("step"), F.desc("gone")).limit(k - 1).select("gone")
     links = tree.join(undone, "gone", "left_anti").select(F.col("gone").alias("node"), F.col("kept").alias("up"))
     nodes = rows.select(F.col(key).cast("long").alias("node"))
